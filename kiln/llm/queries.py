@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import markup
+from kiln.llm import consensus, lookalike, markup
 from kiln.session import table
 
 
@@ -18,9 +18,40 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.convert(table(spark, d, "blocks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.found(table(spark, d, "judge_adjudication"))
+
+
+def p4_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "judge_adjudication"))
+
+
+def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "judge_adjudication"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.found(table(spark, d, "chunks"), table(spark, d, "query_entities"))
+
+
+def p7_titles(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.titled(table(spark, d, "query_entities"), table(spark, d, "entity_titles"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p4_agreement": P4_AGREEMENT}
+
+
+P4_AGREEMENT = """
+WITH latest AS (SELECT item_id, max_by(judge_flags, judged_at) AS f FROM judge_adjudication WHERE judge_flags IS NOT NULL GROUP BY item_id),
+each AS (SELECT item_id, unnest(map_keys(f)) AS name, unnest(map_values(f)) AS flag FROM latest),
+named AS (SELECT item_id, regexp_replace(name, ' run[0-9]+$', '') AS judge, coalesce(try_cast(regexp_extract(name, ' run([0-9]+)$', 1) AS INT), 1) AS run, flag FROM each WHERE flag IS NOT NULL),
+votes AS (SELECT item_id, judge, min_by(flag, run) AS flag FROM named GROUP BY item_id, judge),
+per AS (SELECT item_id, count(*) FILTER (flag)::DOUBLE AS yes, count(*) FILTER (NOT flag)::DOUBLE AS no FROM votes GROUP BY item_id HAVING count(*) >= 2),
+s AS (SELECT count(*) AS n_items, sum(yes + no) AS n, sum(yes) AS y, sum(no) AS z, sum(2 * yes * no / (yes + no - 1)) AS pairs FROM per)
+SELECT n_items, n::BIGINT AS n_votes, round(1 - pairs / n / (2 * y * z / (n * (n - 1))), 6) AS alpha FROM s
+"""
