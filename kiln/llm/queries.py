@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import consensus, lookalike, markup
+from kiln.llm import consensus, lookalike, markup, pairs
 from kiln.session import table
 
 
@@ -30,6 +30,10 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "judge_adjudication"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "questions"), table(spark, d, "semantic_scores"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.found(table(spark, d, "chunks"), table(spark, d, "query_entities"))
 
