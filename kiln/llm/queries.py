@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import consensus, lookalike, markup, pairs
+from kiln.llm import consensus, leak, lookalike, markup, pairs
 from kiln.session import table
 
 
@@ -42,6 +42,14 @@ def p7_titles(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.titled(table(spark, d, "query_entities"), table(spark, d, "entity_titles"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leak.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return leak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
