@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import consensus, leak, lookalike, markup, pairs
+from kiln.llm import consensus, leak, lookalike, markup, pairs, toxic
 from kiln.session import table
 
 
@@ -50,6 +50,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxic.rates(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit() and callable(v)}
 
