@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import consensus, leak, lookalike, markup, pairs, toxic
+from kiln.llm import consensus, leak, lookalike, markup, mixture, pairs, tokens, toxic
 from kiln.session import table
 
 
@@ -18,6 +18,18 @@ def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.convert(table(spark, d, "blocks"))
 
 
+def p3_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.budget(table(spark, d, "documents"), table(spark, d, "book_catalog"), table(spark, d, "chunks"), table(spark, d, "tokenized_chunks"))
+
+
+def p3_document_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.document_counts(table(spark, d, "documents"), table(spark, d, "book_catalog"), table(spark, d, "chunks"), table(spark, d, "tokenized_chunks"))
+
+
+def p3_chunk_budget(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.chunk_budget(table(spark, d, "book_catalog"), table(spark, d, "chunks"), table(spark, d, "tokenized_chunks"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.found(table(spark, d, "judge_adjudication"))
 
@@ -50,6 +62,14 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leak.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return toxic.found(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
@@ -67,8 +87,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_agreement": P4_AGREEMENT}
+    return {"p3_chunk_budget": P3_CHUNK_BUDGET, "p4_agreement": P4_AGREEMENT}
+
 
+P3_CHUNK_BUDGET = """
+WITH one AS (SELECT chunk_id, max(book) AS book, max(lang) AS lang FROM chunks GROUP BY chunk_id),
+o AS (SELECT chunk_id, max_by(o200k_tokens, (counted_at, o200k_tokens)) AS o200k FROM tokenized_chunks WHERE o200k_tokens > 0 GROUP BY chunk_id),
+b AS (SELECT chunk_id, max_by(bge_tokens, (counted_at, bge_tokens)) AS bge FROM tokenized_chunks WHERE bge_tokens > 0 GROUP BY chunk_id)
+SELECT c.source, coalesce(one.lang, c.lang) AS lang, c.topic, count(*) AS n_chunks, count(o200k) AS n_o200k, count(bge) AS n_bge,
+  sum(o200k)::BIGINT AS o200k_tokens, sum(bge)::BIGINT AS bge_tokens
+FROM one LEFT JOIN book_catalog c USING (book) LEFT JOIN o USING (chunk_id) LEFT JOIN b USING (chunk_id)
+GROUP BY 1, 2, 3
+"""
 
 P4_AGREEMENT = """
 WITH latest AS (SELECT item_id, max_by(judge_flags, judged_at) AS f FROM judge_adjudication WHERE judge_flags IS NOT NULL GROUP BY item_id),
