@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kiln.llm import consensus, leak, lookalike, markup, mixture, pairs, tokens, toxic
+from kiln.llm import consensus, leak, lookalike, markup, mixture, pairs, scan, tokens, toxic
 from kiln.session import table
 
 
@@ -42,6 +42,14 @@ def p4_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "judge_adjudication"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan.noise(table(spark, d, "chunks"), table(spark, d, "audit_log"), table(spark, d, "book_catalog"))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan.repaired(table(spark, d, "chunks"), table(spark, d, "audit_log"), table(spark, d, "book_catalog"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.found(table(spark, d, "questions"), table(spark, d, "semantic_scores"))
 

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.llm.gbt import Boosted
@@ -96,7 +96,7 @@ def parse(text: str | None) -> tuple[list[str], list[tuple[str, str, str, str]],
                 head = ""
             before = next((x.strip() for x in reversed(lines[:i]) if x.strip()), "")
             after = next((x.strip() for x in lines[i + 1 :] if x.strip()), "")
-            if page is not None or (not _END.search(s) and not _MARKUP.search(s)) or len(s) < 5:
+            if page is not None or (not re.search(r"[-¬­–‐]$", s) and sum(c.isalpha() for c in s) >= 4 and not _END.search(s) and not _MARKUP.search(s)):
                 shorts.append((" ".join(head.lower().split()), head, page, i == 0 or not lines[i - 1].strip(), i + 1 == len(lines) or not lines[i + 1].strip(), bool(before) and not _END.search(before), bool(after) and after[0].islower(), bool(_MARKUP.search(head))))
                 if head == "" or page is not None:
                     intruders.add(i)
@@ -105,11 +105,11 @@ def parse(text: str | None) -> tuple[list[str], list[tuple[str, str, str, str]],
         if i in intruders:
             continue
         found_ = [(m.start(), m[0]) for m in _WORD.finditer(s)][skip_first.get(i, 0) :]
-        m = re.search(r"([^\W\d_][^\s]*?)([-¬­])$", s)
+        m = re.search(r"([^\W\d_][^\s]*?)([-¬­–‐])$", s)
         if m and found_ and s[: m.end(1)].endswith(found_[-1][1]):
             for j in range(i + 1, min(i + 9, len(lines))):
                 nxt = lines[j].strip()
-                if nxt and j not in intruders and (w := _WORD.match(nxt)) and (w[0][0].islower() or (m[2] != "-" and len(w[0]) > 1)):
+                if nxt and j not in intruders and (w := _WORD.match(nxt)) and (w[0][0].islower() or (m[2] in "¬­" and len(w[0]) > 1)):
                     breaks.append((found_[-1][1].lower(), w[0].lower(), m[2], ""))
                     skip_first[j] = skip_first.get(j, 0) + 1
                     break
@@ -233,13 +233,16 @@ def train_ranker(words: list[tuple[str, int]], total: float, seed: int = 3) -> B
             x.append(pair_features(a, w, na, n, total))
             y.append(1)
             for k in near(a):
-                if words[k][0] != w:
-                    x.append(pair_features(a, words[k][0], na, words[k][1], total))
+                f = pair_features(a, words[k][0], na, words[k][1], total)
+                if words[k][0] != w and f[2] > 0:
+                    x.append(f)
                     y.append(0)
         # A sound rare word, and a sound word beside its own other forms, are not to be changed.
+        # Forms that listed confusions explain in full are left out: the vocabulary itself holds frequent misreadings.
         for k in near(w)[:4]:
-            if words[k][0] != w:
-                x.append(pair_features(w, words[k][0], min(n, words[k][1] * 0.05), words[k][1], total))
+            f = pair_features(w, words[k][0], min(n, words[k][1] * 0.05), words[k][1], total)
+            if words[k][0] != w and f[2] > 0:
+                x.append(f)
                 y.append(0)
         stem = w + rnd.choice(["s", "e", "en", "ing", "er", "а", "ы", "и", "ов", "ом", "ed", "n", "m"]) if rnd.random() < 0.7 else w[:-1]
         if len(stem) > 3:
@@ -254,18 +257,15 @@ def corrections(counts: DataFrame, extra: DataFrame) -> DataFrame:
     """(word, right): misread forms and what they should read. counts: (word, n); extra: (word) forms to look up besides, with count 0 unless counted."""
     total = float(counts.agg(F.sum("n")).first()[0] or 1)
     known = cut(counts.filter((F.col("n") >= KNOWN_N + KNOWN * total) & F.col("word").rlike(r"^\p{L}{3,}$")))
-    bad = F.udf(misreadable, "boolean")
     sought = counts.filter(F.col("n") <= RARE_N + RARE * total).filter(~F.col("word").contains("-")).unionByName(extra.select("word").distinct().join(counts, "word", "left_anti").withColumn("n", F.lit(0).cast("long")))
     sought = cut(sought.filter(F.length("word") >= 4).filter(F.col("word").rlike(r"\p{L}.*\p{L}.*\p{L}") & ~F.col("word").rlike(r"^\d+\D{1,3}$|^\d{2}|^\D{1,2}\d+$")))
 
     def grams(df: DataFrame) -> DataFrame:
         padded = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-        return df.select("word", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(Q)) if False else F.substr(padded, i, F.lit(Q))))).alias("gram"))
+        return df.select("word", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substr(padded, i, F.lit(Q))))).alias("gram"))
 
     right = grams(known).select(F.col("word").alias("right"), F.col("n").alias("n_right"), "gram")
     df = right.groupBy("gram").agg(F.count("*").alias("df"))
-    from pyspark.sql import Window
-
     # The rarest grams of a form: with EDITS edits of Q grams each, one of these is in the right word.
     left = grams(sought).join(df, "gram", "left").withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy(F.coalesce("df", F.lit(0)), "gram"))).filter(F.col("rank") <= Q * EDITS + 3)
     pairs = left.join(right, "gram").filter((F.abs(F.length("word") - F.length("right")) <= 2) & (F.col("n_right") >= TIMES * F.col("n")) & (F.col("word") != F.col("right")))
@@ -286,8 +286,8 @@ def corrections(counts: DataFrame, extra: DataFrame) -> DataFrame:
 # --- broken words --------------------------------------------------------------------------------------------------------------------
 
 
-def break_features(joined: float, left: float, right: float, whole: float, len_left: int, len_right: int, certain: bool) -> list[float]:
-    return [math.log1p(joined), math.log1p(left), math.log1p(right), math.log1p(whole), math.log1p(joined) - math.log1p(min(left, right)), math.log1p(joined) - math.log1p(whole), min(len_left, 6), min(len_right, 6), float(certain)]
+def break_features(joined: float, left: float, right: float, whole: float, len_left: int, len_right: int, certain: bool, times: float) -> list[float]:
+    return [math.log1p(times), math.log1p(joined), math.log1p(left), math.log1p(right), math.log1p(whole), math.log1p(joined) - math.log1p(min(left, right)), math.log1p(joined) - math.log1p(whole), min(len_left, 6), min(len_right, 6), float(certain)]
 
 
 def train_breaks(words: list[tuple[str, int]], compounds: list[tuple[str, int]], known: dict[str, int], seed: int = 9) -> Boosted:
@@ -297,28 +297,30 @@ def train_breaks(words: list[tuple[str, int]], compounds: list[tuple[str, int]],
         if len(w) >= 5:
             k = rnd.randint(2, len(w) - 2)
             for joined in (n, 0 if rnd.random() < 0.3 else n):
-                x.append(break_features(joined, known.get(w[:k], 0), known.get(w[k:], 0), 0, k, len(w) - k, rnd.random() < 0.2))
+                x.append(break_features(joined, known.get(w[:k], 0), known.get(w[k:], 0), 0, k, len(w) - k, rnd.random() < 0.2, rnd.randint(1, 3 + joined // 100)))
                 y.append(1)
     for w, n in compounds:
         a, b = w.rsplit("-", 1)
         for whole in (n, 0):
-            x.append(break_features(known.get(a + b, 0), known.get(a.rsplit("-", 1)[-1], 0), known.get(b, 0), whole, len(a), len(b), False))
+            x.append(break_features(known.get(a + b, 0), known.get(a.rsplit("-", 1)[-1], 0), known.get(b, 0), whole, len(a), len(b), False, rnd.randint(1, 200)))
             y.append(0)
     # Two words of the vocabulary that are known apart but not as one.
     for (a, n), (b, m) in zip(words[::2], words[1::2]):
-        x.append(break_features(known.get(a + b, 0), n, m, 0, len(a), len(b), False))
-        y.append(0)
+        # The right half may be counted nowhere else; then the break recurs at one place and the word is never seen whole.
+        for right, times in ((m, rnd.randint(1, 30)), (0, rnd.randint(8, 200))):
+            x.append(break_features(known.get(a + b, 0), n, right, 0, len(a), len(b), False, times))
+            y.append(0)
     if not y or min(y) == max(y):
-        x, y = x + [break_features(9, 0, 0, 0, 3, 3, False), break_features(0, 9, 9, 0, 5, 5, False)], y + [1, 0]
+        x, y = x + [break_features(9, 0, 0, 0, 3, 3, False, 1), break_features(0, 9, 9, 0, 5, 5, False, 1)], y + [1, 0]
     return Boosted(1, rounds=20, depth=3).fit(np.array(x), np.array(y))
 
 
 def broken(p: DataFrame, counts: DataFrame) -> DataFrame:
     """(l, r, mark, joined): breaks that are one word."""
-    pairs = cut(p.select(F.explode("breaks").alias("b")).select("b.l", "b.r", "b.mark").distinct())
+    pairs = cut(p.select(F.explode("breaks").alias("b")).groupBy("b.l", "b.r", "b.mark").agg(F.count("*").alias("times")))
     # A half may itself be a compound: what is judged is the part at the break.
     half_l, half_r = F.element_at(F.split("l", "-"), -1), F.element_at(F.split("r", "-"), 1)
-    rows = pairs.withColumn("left", half_l).withColumn("right", half_r).withColumn("one", F.concat("left", "right")).withColumn("two", F.concat_ws("-", "left", "right"))
+    rows = pairs.withColumn("times", F.sum("times").over(Window.partitionBy("l", "r"))).withColumn("left", half_l).withColumn("right", half_r).withColumn("one", F.concat("left", "right")).withColumn("two", F.concat_ws("-", "left", "right"))
     for c in ("one", "two", "left", "right"):
         rows = rows.join(counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left")
     known = counts.filter("n >= 3 and word rlike '^[^0-9]+$'").orderBy(F.xxhash64("word"), "word")
@@ -331,7 +333,7 @@ def broken(p: DataFrame, counts: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array([break_features(*r[:4], len(r[4]), len(r[5]), r[6] in "¬­") for r in zip(*(b[c].fillna(0) for c in ("n_one", "n_left", "n_right", "n_two")), b.left, b.right, b.mark)]).reshape(len(b), -1)
+            x = np.array([break_features(*r[:4], len(r[4]), len(r[5]), r[6] in "¬­", r[7]) for r in zip(*(b[c].fillna(0) for c in ("n_one", "n_left", "n_right", "n_two")), b.left, b.right, b.mark, b.times)]).reshape(len(b), -1)
             q = model.prob(x)[:, 0] if len(b) else np.zeros(0)
             # The mark of a broken word says it itself.
             yes = (q > 0.5) | b.mark.isin(["¬", "­"]).to_numpy(bool)
@@ -390,10 +392,6 @@ def analyse(chunks: DataFrame, audit: DataFrame, catalog: DataFrame) -> dict[str
     return {"parsed": p, "whole": whole, "right": right, "headers": cut(headers(p, catalog))}
 
 
-def _right_of(w: Column, part: str) -> Column:
-    return F.coalesce(part, w)
-
-
 def noise(chunks: DataFrame, audit: DataFrame, catalog: DataFrame) -> DataFrame:
     """(record_kind, record_key, noise, fragment): each distinct case."""
     t = analyse(chunks, audit, catalog)
@@ -412,3 +410,75 @@ def noise(chunks: DataFrame, audit: DataFrame, catalog: DataFrame) -> DataFrame:
     alone = lines.filter("s.head = '' and s.page is not null and (s.b or (s.open and s.low) or s.a = s.b)").select(*ident, F.lit("page_number").alias("noise"), F.col("s.page").alias("fragment"))
     beside = heads.filter("page is not null").select(*ident, F.lit("page_number").alias("noise"), F.col("page").alias("fragment"))
     return ocr.unionByName(hyphen).unionByName(header).unionByName(alone).unionByName(beside).distinct()
+
+
+def mend(text: str | None, right: dict[str, str], whole: set[tuple[str, str]], heads: set[str]) -> str | None:
+    """A record without headers and page numbers, its broken words whole, misread words put right, lines of a paragraph in one."""
+    if not text:
+        return text
+    kept, lines = [], clean(text).split("\n")
+    for raw in lines:
+        s = raw.strip()
+        page = any(p.match(s) for p in _PAGE)
+        side = next((m["h"] for p in _SIDE if (m := p.match(s))), s)
+        if s and (page or " ".join(side.lower().split()) in heads):
+            kept.append(None)
+        else:
+            kept.append(raw)
+    out: list[str] = []
+    for raw in kept:
+        if raw is None:
+            continue
+        s = raw.rstrip()
+        low = s.lstrip()[:1].islower()
+        while out and not out[-1] and low and len(out) > 1:
+            out.pop()
+        m = re.search(r"([^\W_][^\s]*)[-¬­–‐]$", out[-1]) if out and low else None
+        first = _WORD.match(s.lstrip()) if low else None
+        if m and first and (word_form(_WORD.findall(m[1])[-1]), word_form(first[0])) in whole:
+            out[-1] = out[-1][:-1] + s.lstrip()
+        elif out and out[-1] and s and (low or not _END.search(out[-1])) and not _MARKUP.search(out[-1]) and not _MARKUP.search(s) and not _CAPTION.match(s) and not _CAPTION.match(out[-1]) and len(out[-1]) > 40:
+            out[-1] += " " + s.lstrip()
+        else:
+            out.append(s)
+    t = "\n".join(out)
+    t = re.sub(r"([^\W\d_]+)[-¬­] +([^\W\d_]+)", lambda m: m[1] + m[2] if (word_form(m[1]), word_form(m[2])) in whole else m[0], t)
+
+    def put(m: re.Match) -> str:
+        w = right.get(word_form(m[0]))
+        return m[0] if w is None else w.upper() if m[0].isupper() and len(m[0]) > 1 else w.capitalize() if m[0][:1].isupper() else w
+
+    return re.sub(r"[^\W_]+", put, t) if right else t
+
+
+def repaired(chunks: DataFrame, audit: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(record_kind, record_key, text, repaired): each distinct record with its text as continuous paragraphs."""
+    t = analyse(chunks, audit, catalog)
+    rid = F.xxhash64("record_kind", "record_key", "book", "section", "text")
+    rows = records(chunks, audit).distinct().withColumn("rid", rid)
+    p = cut(parsed_with_id(rows))
+    fixes = p.select("rid", F.explode(F.array_distinct(F.flatten(F.transform("words", lambda w: F.split(w, "-"))))).alias("word")).join(t["right"], "word").groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("right"))
+    wholes = p.select("rid", F.explode("breaks").alias("b")).select("rid", "b.l", "b.r", "b.mark").join(t["whole"], ["l", "r", "mark"]).groupBy("rid").agg(F.collect_set(F.struct("l", "r")).alias("whole"))
+    heads = p.select("rid", F.coalesce("book", F.lit("")).alias("book"), F.explode("shorts").alias("s")).select("rid", "book", F.col("s.key").alias("key")).join(t["headers"], ["book", "key"]).groupBy("rid").agg(F.collect_set("key").alias("heads"))
+    joined = rows.select("rid", "record_kind", "record_key", "text").join(fixes, "rid", "left").join(wholes, "rid", "left").join(heads, "rid", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fixed = [mend(x, dict(r) if r is not None else {}, {(w["l"], w["r"]) for w in ws} if ws is not None else set(), set(h) if h is not None else set()) for x, r, ws, h in zip(b.text, b.right, b.whole, b.heads)]
+            yield pd.DataFrame({"record_kind": b.record_kind, "record_key": b.record_key, "text": b.text, "repaired": pd.Series(fixed, index=b.index, dtype=object)})
+
+    return joined.mapInPandas(run, "record_kind string, record_key string, text string, repaired string")
+
+
+def parsed_with_id(rows: DataFrame) -> DataFrame:
+    """parsed() beside the id of the row."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            p = [parse(t) for t in b.text]
+            out = b[["rid", "book"]].copy()
+            out["words"] = [x[0] for x in p]
+            out["breaks"] = [[dict(zip(("l", "r", "mark", "x"), y)) for y in x[1]] for x in p]
+            out["shorts"] = [[{"key": y[0]} for y in x[2]] for x in p]
+            yield out
+
+    return fine(rows.select("rid", "book", "text")).mapInPandas(run, "rid long, book string, words array<string>, breaks array<struct<l:string,r:string,mark:string,x:string>>, shorts array<struct<key:string>>")
