@@ -1,16 +1,14 @@
-"""Registry of core queries: name -> (Spark query, DuckDB SQL or None)."""
+"""Registry of core queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from kiln.operators import units
+from kiln.plans import blocks, cleaning  # noqa: F401  (each module registers its queries)
+from kiln.plans.base import QUERIES, SQL, Query
 from kiln.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return units.found(table(spark, d, "chunks"))
@@ -21,8 +19,8 @@ def p1_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_values": p1_values}
+    return {"p1_found": p1_found, "p1_values": p1_values} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
