@@ -56,11 +56,15 @@ def clean(texts: DataFrame, key: str, text: str = "text", rules: list[Rule] | No
     return texts.withColumn("clean", out)
 
 
+def _fired(name: str, matches: Column) -> Column:
+    return F.transform(matches, lambda m: F.struct(F.lit(name).alias("rule"), m.alias("before")))
+
+
 def audit(texts: DataFrame, key: str, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """(key, rule, before, n): what each rule met in the text as the rules before it left it; one row a distinct match."""
     out, steps = F.col(text), []
     for rule in rules or CLEANING:
-        steps.append(F.transform(rule.matches(out), lambda m, name=rule.name: F.struct(F.lit(name).alias("rule"), m.alias("before"))))
+        steps.append(_fired(rule.name, rule.matches(out)))
         out = rule.apply(out)
     fired = texts.filter(F.col(text).isNotNull()).select(key, F.explode(F.concat(*steps)).alias("a"))
     return fired.groupBy(key, "a.rule", "a.before").agg(F.count("*").alias("n"))
