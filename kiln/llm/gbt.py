@@ -47,7 +47,7 @@ class Boosted:
                 continue
             gs, hs = g[at].sum(), h[at].sum()
             value[node] = -self.rate * gs / (hs + self.l2)
-            if node >= size // 2 or len(at) < 4:
+            if node >= size // 2 or len(at) < 2:
                 continue
             flat = b[at] + np.arange(b.shape[1], dtype=np.int64) * nb
             gh = np.bincount(flat.ravel(), np.repeat(g[at], b.shape[1]), nb * b.shape[1]).reshape(-1, nb).cumsum(1)

@@ -29,7 +29,7 @@ KINDS = ["heading", "paragraph", "list", "code", "formula", "table", "image"]
 INLINE = "inline"
 CLASSES = [*KINDS, INLINE]
 #: Markup-free blocks that the training constructs are written around, at most.
-SAMPLE = 400
+SAMPLE = 250
 
 #: Tag names that count as HTML or wiki tags.
 TAGS = set(
@@ -61,7 +61,7 @@ _PATTERNS: list[tuple[str, str, str]] = [
     ("md", "heading", r"^[ \t]{0,3}(?P<a18>#{1,6})[ \t]+(?P<c18>[^\n]+?)(?:[ \t]+#+)?[ \t]*$"),
     ("md", "setext", r"^(?P<c19>[^\n]+)\n(?:={3,}|-{3,})[ \t]*$"),
     ("md", "item", r"^[ \t]*(?:[-*+•]|\d{1,3}[.)])[ \t]+(?P<c20>(?!\d+\s*[-–—]\s*$)[^\n]+)$"),
-    ("wiki", "item", r"^(?P<a21>[*#:;]+)[ \t]*(?P<c21>(?![-*#:;])[^\n]+)$"),
+    ("wiki", "item", r"^(?!\*{1,3}[^\s*][^*\n]*\*)(?P<a21>[*#:;]+)[ \t]*(?P<c21>(?![-*#:;])[^\n]+)$"),
     ("md", "quote", r"^[ \t]*>[ \t]+(?P<c22>[^\n]+)$"),
     ("wiki", "bold", r"'{2,5}(?P<c23>[^'\n]+)'{2,5}"),
     ("md", "strong", r"\*\*(?P<c24>[^*\n]+?)\*\*|(?<!\w)__(?P<c25>[^_\n]+?)__(?!\w)|~~(?P<c26>[^~\n]+?)~~"),
@@ -261,17 +261,24 @@ def _written(plain: list[str], rnd: random.Random) -> Iterator[tuple[str, str]]:
     for t in plain:
         t = " ".join(t.split())
         s = short()
+        # Sentences of any length: an opening of the text with its full stop stands for a short paragraph.
+        brief = " ".join(t.split()[: rnd.randint(3, 9)]).rstrip(" .,;:") + "."
         yield marked(t), "paragraph"
+        yield marked(brief), "paragraph"
         yield f"<p>{t if rnd.random() < 0.4 else marked(t)}</p>", "paragraph"
+        yield f"<p>{brief if rnd.random() < 0.4 else marked(brief)}</p>", "paragraph"
         yield rnd.choice([f"<div>{t}</div>", f"{t}<br/>{t}", f"<p class=\"x\">{marked(t)}</p>", f"> {t}"]), "paragraph"
         d = rnd.randint(1, 4)
         yield rnd.choice([f"<h{d}>{s}</h{d}>", f"<h{d} class=\"sec\">{s}</h{d}>", f"<H{d}>{s}</H{d}>", f"{'#' * d} {s}", f"{'#' * d} {s} {'#' * d}", f"{'=' * (d + 1)} {s} {'=' * (d + 1)}", f"\\section{{{s}}}", f"\\subsection*{{{s}}}", f"<h2>{marked(s)}</h2>", f"## {marked(s)}", f"{s}\n-----"]), "heading"
-        items = [rnd.choice([short(), t]) for _ in range(rnd.randint(2, 5))]
+        items = [rnd.choice([short(), t, brief]) for _ in range(rnd.randint(2, 5))]
         items = [marked(x) if rnd.random() < 0.2 else x for x in items]
         mark = rnd.choice(["- ", "* ", "+ ", "# ", "1. "])
         yield rnd.choice(["\n".join(mark + x for x in items), "\n".join(f"{i + 1}. {x}" for i, x in enumerate(items)), "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", "<ol>\n" + "\n".join(f"  <li>{x}</li>" for x in items) + "\n</ol>", "\\begin{itemize}\n" + "\n".join(f"\\item {x}" for x in items) + "\n\\end{itemize}", "\\begin{enumerate}\n" + "\n".join(f"\\item {x}" for x in items) + "\n\\end{enumerate}"]), "list"
         if rnd.random() < 0.6:
             yield "\n".join(mark + x for x in items), "list"
+        items = [short() for _ in range(rnd.randint(2, 4))]
+        pad = rnd.choice(["", " ", "  ", "\t"])
+        yield rnd.choice(["<ol>", "<ul>"]) + "\n" + "\n".join(f"{pad}<li>{x}</li>" for x in items) + "\n" + "</ol>", "list"
         c = rnd.choice(code).replace("12", str(rnd.randint(1, 99)))
         yield rnd.choice([f"```\n{c}\n```", f"```python\n{c}\n```", f"~~~\n{c}\n~~~", f"<pre><code>{c}</code></pre>", f"<pre>{c}</pre>", f'<syntaxhighlight lang="text">\n{c}\n</syntaxhighlight>', f"\\begin{{verbatim}}\n{c}\n\\end{{verbatim}}", f"\\begin{{lstlisting}}\n{c}\n\\end{{lstlisting}}"]), "code"
         f = rnd.choice(maths)
@@ -285,6 +292,8 @@ def _written(plain: list[str], rnd: random.Random) -> Iterator[tuple[str, str]]:
 def train(plain: list[str], seed: int = 7) -> Boosted:
     """Trees fitted on constructs written around plain texts (at most SAMPLE of them)."""
     x, y, rnd = [], [], random.Random(seed)
+    # A table without a markup-free text is taught with sentences of its own.
+    plain = plain or [f"The block {i} of this text has no marks and ends here." for i in range(40)]
     for text, kind in _written(plain[:SAMPLE], rnd):
         nodes, feats, _ = flatten(text)
         x.append(feats[0])
@@ -293,7 +302,7 @@ def train(plain: list[str], seed: int = 7) -> Boosted:
             known = _INNER_KIND.get(n.tag, INLINE)
             x.append(f)
             y.append(CLASSES.index(kind if n.fmt in ("md", "wiki") and (known == "list" != kind or known == "heading" != kind) else "formula" if n.tag == "math" and kind == "formula" else known))
-    return Boosted(len(CLASSES), rounds=16, depth=4).fit(np.array(x), np.array(y))
+    return Boosted(len(CLASSES), rounds=24, depth=4).fit(np.array(x), np.array(y))
 
 
 def render(nodes: list[Node], kinds: list[int]) -> str:

@@ -31,7 +31,7 @@ from kiln.session import cut, fine
 #: Words of the vocabulary that the classifiers are trained on, at most.
 TRAIN = 1500
 #: A form below RARE of all words is looked up; a form above KNOWN of all words (and KNOWN_N) may be what it should read.
-RARE, RARE_N, KNOWN, KNOWN_N = 4e-5, 2, 4e-6, 2
+RARE, RARE_N, KNOWN, KNOWN_N = 4e-5, 6, 4e-6, 2
 #: A right word is at least so many times as frequent as the misread form.
 TIMES = 6
 Q, EDITS = 2, 2
@@ -45,7 +45,7 @@ _WORD = re.compile(r"[^\W_]+(?:[-’'‑][^\W_]+)*")
 _CAPTION = re.compile(r"^(?:Fig(?:ure|\.)?|Table|Tab\.|Рис(?:унок|\.)?|Табл(?:ица|\.)|Bild|Abb(?:ildung|\.)?|Tabelle|!\[|\\includegraphics|\[\[File|<img)", re.I)
 _PAGE = [re.compile(p, re.I) for p in (r"^[-–—·•*|\[(]\s?(\d{1,4})\s?[-–—·•*|\])]$", r"^(\d{1,4})$", r"^(?:page|p\.|pg\.?|seite|s\.|стр\.|страница|с\.)\s?(\d{1,4})\.?$", r"^(\d{1,4})\.$")]
 _SIDE = [re.compile(r"^(?P<h>\S.{2,}?)\s*(?:[|·•—–]|\s{2,}|\t)\s*(?P<n>\d{1,4})$"), re.compile(r"^(?P<n>\d{1,4})(?:\s*[|·•—–]\s*|\s{2,}|\t|\s(?=[A-ZА-ЯЁÄÖÜ]))(?P<h>[^\d\s].{2,})$")]
-_MARKUP = re.compile(r"[\\{}<>$=`~]|\|\||^\||\|$|^[-*#]\s|^\d+[.)]\s")
+_MARKUP = re.compile(r"[\\{}<>$=`~]|\|\||^\||\|$|^[-*#=]+\s|^\d+[.)]\s")
 _END = re.compile(r"[.!?:;…»\"”)\]]$|\$\$$|</?\w+>$")
 _MIX = (re.compile("[a-zäöüß]", re.I), re.compile("[а-яё]", re.I))
 
@@ -370,7 +370,9 @@ def headers(p: DataFrame, catalog: DataFrame) -> DataFrame:
     x, y = [line_features(r) for r in sure] + [line_features(r) for r in never], [1] * len(sure) + [0] * len(never)
     if not sure or not never:
         return t.filter("all_paged >= 2 and n_section = 0 or title = 1").select("book", "key")
-    model = Boosted(1, rounds=15, depth=3).fit(np.array(x), np.array(y))
+    # Both classes weigh the same, however few headers a corpus has.
+    weight = np.array([len(never) / len(sure)] * len(sure) + [1.0] * len(never))
+    model = Boosted(1, rounds=15, depth=3).fit(np.array(x), np.array(y), weight)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
