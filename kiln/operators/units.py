@@ -82,7 +82,7 @@ _VALUE = re.compile(
     rf"(?<![\w.,/\\-])(?:(?P<a>{_NUM})(?:°)?(?P<sep>{_SEP}))?(?P<b>{_NUM})\s{{0,2}}(?:{_UNIT})(?![\w])(?!\s?/\s?[\wа-я])(?!-[A-Za-zА-я])"
 )
 #: A table row whose label names the unit of its cells: pipes, wiki and LaTeX cells, HTML cells.
-_CELL = r"\s*(?:\|\|?|&|</t[dh]>\s*<t[dh][^>]*>)\s*"
+_CELL = r"[^\S\n]*(?:\|\|?|&|</t[dh]>\s*<t[dh][^>]*>)[^\S\n]*"
 _ROW = re.compile(rf"[,(\[]\s*(?:{_UNIT})[)\]]?(?P<cells>(?:{_CELL}(?:{_NUM}|[-–—]?(?=\s*[|&<])))+)")
 _CELL_RE, _NUM_RE = re.compile(_CELL), re.compile(_NUM)
 _BARE = re.compile(rf"(?<![\w.,/\\\[(#§-])(?<!\d )(?P<b>{_NUM})(?![\w%\]°])(?![.,]\d)(?!-[\w])")

@@ -28,7 +28,7 @@ def values(text, lang="en"):
         ("Grains of 20.2 microns were counted.", "en", {("length", 20)}),
         ("Specimens absorbed 155 ft-lb.", "en", {("energy", 210)}),
         ("Strengths are quoted throughout in ksi. Plate AB-1 yielded at 62.8.", "en", {("stress", 433)}),
-        ("| | A-1 | B-2 |\n|---|---|---|\n| Gauge, in | 1.75 | 0.45 |", "en", {("length", 44450), ("length", 11430)}),
+        ("| | A-1 | B-2 |\n|---|---|---|\n| Gauge, in | 1.75 | 0.45 |\n\n474", "en", {("length", 44450), ("length", 11430)}),
         ("Bar was finished at 9​00 °C, in trial 5 with 3 * 4 bars [12], see Figure 7.", "en", {("temperature", 900)}),
         ("Temperatures of\n950 deg-\nrees Celsius", "en", {("temperature", 950)}),
         ("", "en", set()),
