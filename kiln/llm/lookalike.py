@@ -73,10 +73,10 @@ def _count(run: Column, cls: str) -> Column:
     return F.length(F.regexp_replace(run, f"[^{cls}]", ""))
 
 
-def canonical(texts: DataFrame) -> DataFrame:
-    """texts: record_kind, record_key, text. Adds clean (the consistent form) and variant (whether a character made a case); one row per distinct input row."""
+def _fixes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts with rid, a digest of the row; rid, variant and the fixed runs by place of each text that changes). Only touched runs are shuffled, no whole text."""
     spark = texts.sparkSession
-    rows = texts.select("record_kind", "record_key", "text").distinct().withColumn("rid", F.xxhash64("record_kind", "record_key", "text"))
+    rows = texts.select("record_kind", "record_key", "text").withColumn("rid", F.xxhash64("record_kind", "record_key", "text"))
     touched = F.col("text").rlike(f"{_SPECIAL}|{_MIXED}") | F.col("text").rlike(rf"(?<={_LAT} ){_CYR}+(?= {_LAT})|(?<={_CYR} ){_LAT}+(?= {_CYR})")
     work = rows.filter(touched).withColumn("runs", F.regexp_extract_all("text", F.lit(f"({RUNS})"), 0))
     runs = work.select("rid", F.posexplode("runs").alias("at", "run"), "runs").withColumn("before", F.get("runs", F.col("at") - 2)).withColumn("after", F.get("runs", F.col("at") + 2))
@@ -87,7 +87,7 @@ def canonical(texts: DataFrame) -> DataFrame:
     stray_cyr = F.col("gaps") & lower & F.col("run").rlike(cyr_all) & F.col("before").rlike(rf"^{_LAT}{{2,}}$") & F.col("after").rlike(rf"^{_LAT}{{2,}}$")
     stray_lat = F.col("gaps") & lower & F.col("run").rlike(lat_all) & F.col("before").rlike(rf"^{_CYR}+$") & F.col("after").rlike(rf"^{_CYR}{{2,}}$")
     runs = runs.withColumn("stray", F.coalesce(F.when(stray_cyr, "latin").when(stray_lat, "cyrillic"), F.lit("")))
-    odd = runs.filter(F.col("run").rlike(f"{_SPECIAL}|{_MIXED}") | (F.col("stray") != "")).select("rid", "at", "run", "stray")
+    odd = runs.filter(F.col("run").rlike(f"{_SPECIAL}|{_MIXED}") | (F.col("stray") != "")).select("rid", "at", "run", "stray").distinct()
 
     points = odd.select("rid", "at", "stray", F.posexplode(F.regexp_extract_all("run", F.lit("((?s).)"), 0)).alias("pos", "ch"))
     parts = points.join(F.broadcast(mapping(spark)), "ch", "left").select("rid", "at", "stray", "pos", F.coalesce("variant", F.lit(False)).alias("variant"), F.posexplode_outer(F.coalesce("parts", F.array("ch"))).alias("sub", "part"))
@@ -123,7 +123,13 @@ def canonical(texts: DataFrame) -> DataFrame:
     fixed = folded.select("rid", "at", (F.col("variant") | has_mark | to_cyr | to_lat).alias("variant"), F.when(to_cyr, to_cyr_text).when(to_lat, to_lat_text).otherwise(run).alias("fixed"))
 
     by_text = fixed.groupBy("rid").agg(F.max("variant").alias("variant"), F.map_from_entries(F.collect_list(F.struct("at", "fixed"))).alias("fixes"))
-    out = rows.join(by_text, "rid", "left")
+    return rows, by_text
+
+
+def canonical(texts: DataFrame) -> DataFrame:
+    """texts: record_kind, record_key, text. Adds clean (the consistent form) and variant (whether a character made a case); one row per distinct input row."""
+    rows, by_text = _fixes(texts)
+    out = rows.distinct().join(by_text, "rid", "left")
     clean = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(f"({RUNS})"), 0), lambda x, i: F.coalesce(F.try_element_at(F.col("fixes"), i), x)), "")
     return out.select("record_kind", "record_key", "text", F.when(F.col("fixes").isNotNull(), clean).otherwise(F.col("text")).alias("clean"), F.coalesce("variant", F.lit(False)).alias("variant"))
 
@@ -135,7 +141,8 @@ def records(chunks: DataFrame, entities: DataFrame) -> DataFrame:
 
 def found(chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """(record_kind, record_key) of each record that holds a variant character."""
-    return canonical(records(chunks, entities)).filter("variant").select("record_kind", "record_key").distinct()
+    rows, by_text = _fixes(records(chunks, entities))
+    return rows.select("record_kind", "record_key", "rid").join(by_text.filter("variant").select("rid"), "rid").select("record_kind", "record_key").distinct()
 
 
 def titled(entities: DataFrame, titles: DataFrame) -> DataFrame:
