@@ -89,7 +89,7 @@ def features(q: str | None, a: str | None, lang: Language) -> dict[int, float]:
     bare = a.lower().strip(" .!…-–—?*_/\\()[]\"'")
     add("bias")
     if bare in PLACEHOLDERS or not re.search(r"\w", bare):
-        add("blank", 6.0)
+        add("blank", 12.0)
     for n in (1, 2, 3):
         for i in range(len(aw) - n + 1):
             add(f"{n}:" + " ".join(aw[i : i + n]), 0.5)
@@ -102,7 +102,7 @@ def features(q: str | None, a: str | None, lang: Language) -> dict[int, float]:
     add("rare end" if lang.ends.get(" ".join(tail[-1:]), 0) <= 1 else "known end", 3.0 if len(tail) > 3 else 0.5)
     for n in (2, 3, 4):
         add(f"e{n}:" + re.sub(r"\d", "0", stem[-n:]))
-    add("dot" if re.search(r"[.!?»\"”)]$", a) else "nodot")
+    add("ellipsis" if re.search(r"(?:\.\.\.|…)$", a) else "dot" if re.search(r"[.!?»\"”)]$", a) else "nodot", 2.0)
     add("cut" if re.search(r"[,;:(-]$", a) else "nocut")
     add(f"len{min(len(aw), 40) // 4}|{head}")
     qa, aa = set(qw), words(a)
@@ -111,6 +111,9 @@ def features(q: str | None, a: str | None, lang: Language) -> dict[int, float]:
     add("covered", 4 * covered)
     for k in (0.6, 0.8, 0.95):
         add(f"both{k}", 5.0 * (min(inside, covered) >= k and len(aa) > 2))
+    if covered >= 0.95 and len(qa) > 2:
+        # The whole question is in the answer: what is there besides?
+        add(f"besides{min(max(len(aa) - len(qw), 0), 8)}", 5.0)
     pq, pa = lang.probs(q), lang.probs(a)
     same = float(pq @ pa) if aa and re.search(r"[^\W\d_]", _CODE.sub("", a)) else 1.0
     add("other", 8.0 * (1 - same))
@@ -181,7 +184,7 @@ def train(pairs: list[tuple[str | None, str | None, str | None]], refused: set[i
     said: dict[str, list[int]] = {}
     for i, (_, a, _) in enumerate(pairs):
         said.setdefault(plain(a), []).append(i in refused)
-    abstains = {t for t, v in said.items() if len(t.split()) > 1 and sum(v) >= 2 and sum(v) > len(v) / 2}
+    abstains = {t for t, v in said.items() if len(t.split()) > 1 and t.replace(" ", "/") not in PLACEHOLDERS and t not in PLACEHOLDERS and sum(v) >= 2 and sum(v) > len(v) / 2}
     refusals = {g: [*REFUSALS[g], *sorted({norm(a) for i, (_, a, _) in enumerate(pairs) if guess[i] == g and plain(a) in abstains})] for g in LANGS}
     sound = [i for i, (q, a, _) in enumerate(pairs) if norm(a) and i not in refused and plain(a) not in abstains]
     near = {i: closeness(pairs[i][0], pairs[i][1], lang) for i in sound}
