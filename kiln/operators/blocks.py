@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.functions import text as T
+from kiln.operators import scans
 
 
 def split_blocks(docs: DataFrame, key: str, text: str = "text", separator: str = "\n") -> DataFrame:
@@ -84,12 +85,14 @@ def broken_pairs(blocks: DataFrame, group: str, order: list[str]) -> DataFrame:
     return pairs.filter(T.continues(F.col("text"), F.col("next_text")) | F.col("text").rlike(r"\p{L}-$"))
 
 
-def sections(blocks: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds section_no and section: a section begins at a heading that follows other content; the heading names what comes after it."""
-    w = Window.partitionBy(group).orderBy(*order)
-    opens = ((F.col("kind") == "heading") & (F.coalesce(F.lag("kind").over(w), F.lit("")) != "heading")).cast("int")
-    head = F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("opens", opens).withColumn("section_no", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("section", head).drop("opens")
+def sections(blocks: DataFrame, group: str, order: list[str], segment: str | None = None) -> DataFrame:
+    """Adds section_no and section: a section begins at a heading that follows other content; the heading names what comes after it. segment: a column in the order's sense that parts large groups."""
+    rows, seg = (blocks, segment) if segment else (blocks.withColumn("_seg", F.lit(0)), "_seg")
+    before = scans.neighbour(rows, group, seg, order, {"_kind": F.col("kind")}, ahead=False)
+    opens = ((F.col("kind") == "heading") & (F.coalesce("_kind", F.lit("")) != "heading")).cast("int")
+    numbered = scans.running_sum(before, group, seg, order, opens, "section_no")
+    named = scans.running_last(numbered, group, seg, order, F.when(F.col("kind") == "heading", F.col("text")), "section")
+    return named.drop("_kind", "_seg")
 
 
 def clean_cut(left_kind: Column, left: Column, right_kind: Column, right: Column) -> Column:
@@ -110,13 +113,14 @@ def deletion_reason(text: Column, kind: Column, in_references: Column, dropped_s
     )
 
 
-def delete_cascade(blocks: DataFrame, group: str, order: list[str], headers: DataFrame, drop_sections: list[str], references: str = r"(?i)^(references|литература|literatur)$") -> DataFrame:
-    """Blocks with the rule that deletes each (rule null: kept). References last to the end of the group; a dropped section to the next heading."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+def delete_cascade(blocks: DataFrame, group: str, order: list[str], headers: DataFrame, drop_sections: list[str], references: str = r"(?i)^(references|литература|literatur)$", segment: str | None = None) -> DataFrame:
+    """Blocks with the rule that deletes each (rule null: kept). References last to the end of the group; a dropped section to the next heading. segment parts large groups."""
+    rows, seg = (blocks, segment) if segment else (blocks.withColumn("_seg", F.lit(0)), "_seg")
     key = F.lower(F.trim("text"))
-    refs = F.max(F.when((F.col("kind") == "heading") & F.trim("text").rlike(references), True).otherwise(False)).over(w)
-    dropped = F.coalesce(F.last(F.when(F.col("kind") == "heading", key.isin([s.lower() for s in drop_sections])), ignorenulls=True).over(w), F.lit(False))
-    marked = blocks.withColumn("refs", refs).withColumn("dropped", dropped)
+    heading = F.col("kind") == "heading"
+    marked = scans.running_last(rows, group, seg, order, F.when(heading & F.trim("text").rlike(references), True), "refs")
+    marked = scans.running_last(marked, group, seg, order, F.when(heading, key.isin([s.lower() for s in drop_sections])), "dropped")
+    marked = marked.withColumn("refs", F.coalesce("refs", F.lit(False))).withColumn("dropped", F.coalesce("dropped", F.lit(False))).drop("_seg")
     heads = headers.select(group, F.col("line").alias("head_line")).distinct()
     joined = marked.join(heads, (marked[group] == heads[group]) & (F.trim(marked["text"]) == heads["head_line"]), "left").drop(heads[group])
     return joined.withColumn("rule", deletion_reason(F.col("text"), F.coalesce("kind", F.lit("")), F.col("refs"), F.col("dropped"), F.col("head_line").isNotNull())).drop("refs", "dropped", "head_line")

@@ -9,10 +9,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions import text as T
+from kiln.operators import scans
 
 #: Characters of a text that are packed in one task.
 STRETCH = 400_000
@@ -93,10 +94,11 @@ def structural_chunks(blocks: DataFrame, group: str, target: int = 900, least: i
     return blocks.select(group, "kind", "text", "start_pos", "end_pos", F.floor(F.col("start_pos") / STRETCH).alias("stretch")).groupBy(group, "stretch").applyInPandas(run, f"{group} {kind}, stretch long, chunk_no int, section string, start_pos int, end_pos int, n_tokens int")
 
 
-def overlapped(chunks: DataFrame, group: str, order: list[str], text: str = "text", share: float = 0.075, limit: int = 1100) -> DataFrame:
+def overlapped(chunks: DataFrame, group: str, order: list[str], text: str = "text", share: float = 0.075, limit: int = 1100, segment: str | None = None) -> DataFrame:
     """chunks with column extended: whole sentences of the neighbours, up to share of the chunk's tokens on each side and limit in all."""
-    w = Window.partitionBy(group).orderBy(*order)
-    rows = chunks.withColumn("left_text", F.lag(text).over(w)).withColumn("right_text", F.lead(text).over(w))
+    rows, seg = (chunks, segment) if segment else (chunks.withColumn("_seg", F.lit(0)), "_seg")
+    rows = scans.neighbour(rows, group, seg, order, {"left_text": F.col(text)}, ahead=False)
+    rows = scans.neighbour(rows, group, seg, order, {"right_text": F.col(text)}).drop("_seg")
     count = lambda t: len(_TOKEN.findall(t))
 
     def side(t: str | None, budget: int, from_end: bool) -> str:

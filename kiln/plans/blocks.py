@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions import text as T
 from kiln.operators import blocks as B
+from kiln.operators import scans
 from kiln.plans.base import Tables, query
 
 ENDS = r"(regexp_matches({0}, '[.!?:;…][\"»”)]?\s*$|\$\$\s*$|</table>\s*$'))"
@@ -33,6 +34,11 @@ def distinct_blocks(t: Tables) -> DataFrame:
     return t.blocks.select("block_id", "chunk_id", "book", "idx", "kind", "text", "start_pos", "end_pos").distinct()
 
 
+def segmented(df: DataFrame) -> DataFrame:
+    """Adds segment: a prefix of the chunk id, so that a book is scanned in stretches of some hundred chunks."""
+    return df.withColumn("segment", F.substr("chunk_id", F.lit(1), F.greatest(F.length("chunk_id") - 2, F.lit(1))))
+
+
 @query("""
 WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents),
 o AS (SELECT *, coalesce(sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start_pos FROM p)
@@ -100,8 +106,8 @@ SELECT book, count(*) AS n_pairs, count(*) FILTER (CASE WHEN rk = 'heading' THEN
 FROM (SELECT book, coalesce(kind, 'paragraph') AS kind, text, coalesce(rk, 'paragraph') AS rk, rt FROM n WHERE rt IS NOT NULL AND text IS NOT NULL) GROUP BY book
 """)
 def clean_cuts(t: Tables) -> DataFrame:
-    w = Window.partitionBy("book").orderBy("chunk_id", "idx", "block_id")
-    n = distinct_blocks(t).withColumn("rt", F.lead("text").over(w)).withColumn("rk", F.coalesce(F.lead("kind").over(w), F.lit("paragraph"))).filter("rt is not null and text is not null")
+    n = scans.neighbour(segmented(distinct_blocks(t)), "book", "segment", ["chunk_id", "idx", "block_id"], {"rt": F.col("text"), "rk": F.col("kind")})
+    n = n.withColumn("rk", F.coalesce("rk", F.lit("paragraph"))).filter("rt is not null and text is not null")
     cut = B.clean_cut(F.coalesce("kind", F.lit("paragraph")), F.col("text"), F.col("rk"), F.col("rt"))
     return n.groupBy("book").agg(F.count("*").alias("n_pairs"), F.count_if(cut).alias("n_clean"))
 
@@ -157,7 +163,7 @@ r AS (SELECT CASE WHEN refs THEN 'reference_list' WHEN dropped THEN 'dropped_sec
 SELECT coalesce(rule, 'kept') AS rule, count(*) AS n FROM r GROUP BY 1
 """)
 def deletion_cascade(t: Tables) -> DataFrame:
-    cascade = B.delete_cascade(distinct_blocks(t), "book", ["chunk_id", "idx", "block_id"], B.furniture(t.chunks, "book"), ["surface quality", "kühlstrategie"])
+    cascade = B.delete_cascade(segmented(distinct_blocks(t)), "book", ["chunk_id", "idx", "block_id"], B.furniture(t.chunks, "book"), ["surface quality", "kühlstrategie"], segment="segment")
     return cascade.groupBy(F.coalesce("rule", F.lit("kept")).alias("rule")).agg(F.count("*").alias("n"))
 
 
@@ -167,7 +173,7 @@ WITH o AS (SELECT *, (kind = 'heading' AND coalesce(lag(kind) OVER w, '') <> 'he
 SELECT block_id, section, sum(opens) OVER (PARTITION BY book ORDER BY chunk_id, idx, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS section_no FROM o
 """)
 def section_state(t: Tables) -> DataFrame:
-    return B.sections(distinct_blocks(t), "book", ["chunk_id", "idx", "block_id"]).select("block_id", "section", "section_no")
+    return B.sections(segmented(distinct_blocks(t)), "book", ["chunk_id", "idx", "block_id"], segment="segment").select("block_id", "section", "section_no")
 
 
 @query()

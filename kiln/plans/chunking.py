@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.functions import text as T
 from kiln.operators import blocks as B
 from kiln.operators import chunking as K
+from kiln.operators import scans
 from kiln.plans.base import Tables, query
 from kiln.plans.blocks import distinct_blocks
 from kiln.plans.cleaning import CHUNKS, chunks
@@ -41,7 +42,7 @@ def structural_chunks(t: Tables) -> DataFrame:
 @query()
 def chunk_overlap(t: Tables) -> DataFrame:
     c = t.chunks.groupBy("book", "chunk_id").agg(F.min("start_pos").alias("start_pos"), F.min("text").alias("text"))
-    return K.overlapped(c, "book", ["start_pos", "chunk_id"]).select("chunk_id", "extended")
+    return K.overlapped(c.withColumn("segment", F.floor(F.col("start_pos") / 200_000)), "book", ["start_pos", "chunk_id"], segment="segment").select("chunk_id", "extended")
 
 
 @query(f"""
@@ -85,7 +86,7 @@ SELECT book, count(*) AS n_boundaries, count(*) FILTER (NOT regexp_matches(text,
 """)
 def boundary_cuts(t: Tables) -> DataFrame:
     c = t.chunks.groupBy("chunk_id").agg(*[F.min(x).alias(x) for x in ("book", "start_pos", "end_pos", "text")])
-    o = c.withColumn("nt", F.lead("text").over(Window.partitionBy("book").orderBy("start_pos", "chunk_id"))).filter("nt is not null")
+    o = scans.neighbour(c.withColumn("segment", F.floor(F.col("start_pos") / 200_000)), "book", "segment", ["start_pos", "chunk_id"], {"nt": F.col("text")}).filter("nt is not null")
     return o.groupBy("book").agg(F.count("*").alias("n_boundaries"), F.count_if(~T.ends_sentence(F.col("text"))).alias("n_open_end"), F.count_if(T.starts_mid(F.col("nt"))).alias("n_mid_start"))
 
 

@@ -14,6 +14,7 @@ from kiln.operators import graph as G
 from kiln.operators import normalization as N
 from kiln.operators import quality as Q
 from kiln.operators import rag as R
+from kiln.operators import scans as S
 from kiln.operators import vectors as V
 
 
@@ -80,6 +81,23 @@ def test_plural_fold(spark):
     assert {(r.word, r.lemma) for r in N.plurals(df).collect()} == {("grains", "grain"), ("studies", "study"), ("boxes", "box")}
 
 
+def test_scans_equal_whole_windows(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "b", None]), i // 7, i, rnd.choice([None, 1, 2, 3])) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, seg int, k int, v int")
+    out = S.running_last(df, "g", "seg", ["k"], F.col("v"), "last")
+    out = S.running_sum(out, "g", "seg", ["k"], F.coalesce("v", F.lit(0)), "total")
+    out = S.neighbour(out, "g", "seg", ["k"], {"nv": F.col("v"), "nk": F.col("k")})
+    out = S.neighbour(out, "g", "seg", ["k"], {"pk": F.col("k")}, ahead=False)
+    got = {r.k: (r.last, r.total, r.nv, r.nk, r.pk) for r in out.collect()}
+    for g in ("a", "b", None):
+        mine, last, total = [r for r in rows if r[0] == g], None, 0
+        for i, (_, _, k, v) in enumerate(mine):
+            last, total = v if v is not None else last, total + (v or 0)
+            nxt, prev = (mine[i + 1] if i + 1 < len(mine) else None), (mine[i - 1] if i else None)
+            assert got[k] == (last, total, nxt and nxt[3], nxt and nxt[2], prev and prev[2])
+
+
 def test_token_windows_cover_and_overlap(spark):
     words = " ".join(f"w{i}" for i in range(300))
     n = len(words.split()) * 2
