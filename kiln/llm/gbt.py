@@ -22,6 +22,10 @@ class Boosted:
         w = np.ones(len(x)) if weight is None else weight
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         b, k = self._binned(x), max(self.classes, 1)
+        # Most features of a row are in their first bin; histograms count the others and give the rest to it.
+        at_row, at_col = np.nonzero(b)
+        self._ptr = np.concatenate([[0], np.cumsum(np.bincount(at_row, minlength=len(b)))])
+        self._flat = at_col.astype(np.int64) * (self.bins + 1) + b[at_row, at_col]
         target = y[:, None].astype(float) if self.classes == 1 else np.eye(k)[y]
         prior = np.clip((target * w[:, None]).sum(0) / w.sum(), 1e-4, 1 - 1e-4)
         self.base = np.log(prior / (1 - prior)) if self.classes == 1 else np.log(prior)
@@ -35,13 +39,21 @@ class Boosted:
                 level.append(tree)
                 f[:, c] += self._walk(tree, b)
             self.trees.append(level)
+        del self._ptr, self._flat
         return self
 
+    def _hist(self, at: np.ndarray, v: np.ndarray, features: int) -> np.ndarray:
+        """Cumulative sums of v over the bins of each feature, for rows at."""
+        lens = self._ptr[at + 1] - self._ptr[at]
+        entries = np.repeat(self._ptr[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        h = np.bincount(self._flat[entries], np.repeat(v[at], lens), (self.bins + 1) * features).reshape(features, self.bins + 1)
+        h[:, 0] += v[at].sum() - h.sum(1)
+        return h.cumsum(1)
+
     def _grow(self, b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = 2 ** (self.depth + 1) - 1
         feature, cut, value = np.full(size, -1, np.int32), np.zeros(size, np.int16), np.zeros(size)
         rows = {0: np.arange(len(b))}
-        nb = self.bins + 1
         for node in range(size):
             if (at := rows.pop(node, None)) is None:
                 continue
@@ -49,9 +61,7 @@ class Boosted:
             value[node] = -self.rate * gs / (hs + self.l2)
             if node >= size // 2 or len(at) < 2:
                 continue
-            flat = b[at] + np.arange(b.shape[1], dtype=np.int64) * nb
-            gh = np.bincount(flat.ravel(), np.repeat(g[at], b.shape[1]), nb * b.shape[1]).reshape(-1, nb).cumsum(1)
-            hh = np.bincount(flat.ravel(), np.repeat(h[at], b.shape[1]), nb * b.shape[1]).reshape(-1, nb).cumsum(1)
+            gh, hh = self._hist(at, g, b.shape[1]), self._hist(at, h, b.shape[1])
             gain = gh**2 / (hh + self.l2) + (gs - gh) ** 2 / (hs - hh + self.l2) - gs**2 / (hs + self.l2)
             gain[(hh < self.least * 0.05) | (hs - hh < self.least * 0.05)] = -1
             j, t = np.unravel_index(gain.argmax(), gain.shape)

@@ -196,7 +196,7 @@ def features(text: str, source: str, key: str, attrs: str, nodes: list[Node], de
     outside = size - sum(x.end - x.start for x in nodes)
     general = [
         depth, len(nodes), len(siblings), (siblings.count(key) / len(siblings)) if siblings else 0, len(seen) / max(len(source), 1), np.log1p(len(seen)), len(lines), outside / size,
-        sum(c.isdigit() for c in seen) / n, sum(c in "=+^_\\{}/()" for c in seen) / n, sum(c.isalpha() for c in seen) / n, sum(c.isupper() for c in seen) / n,
+        sum(map(str.isdigit, seen)) / n, sum(map(seen.count, "=+^_\\{}/()")) / n, sum(map(str.isalpha, seen)) / n, sum(map(str.isupper, seen)) / n,
         sum(x.rstrip().endswith((".", "!", "?")) for x in lines) / max(len(lines), 1), sum(x.startswith((" ", "\t")) for x in lines) / max(len(lines), 1), sum("|" in x or "&" in x for x in lines) / max(len(lines), 1), max((len(x) for x in lines), default=0),
         *(sum(x.end - x.start for x in nodes if _INNER_KIND.get(x.tag) == k) / size for k in KINDS), float(len(nodes) == 1), len({x.key for x in nodes}),
     ]
