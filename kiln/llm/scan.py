@@ -362,7 +362,14 @@ def line_features(r) -> list[float]:
 
 
 def headers(p: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(book, key): lines that are running headers of their book."""
+    """(book, key): lines that are running headers of their book, its title among them."""
+    title = F.array_join(F.split(F.lower(F.trim("title")), r"\s+"), " ")
+    titles = catalog.filter("book is not null and trim(title) <> ''").select("book", title.alias("key"))
+    return recurring(p, catalog).unionByName(titles).distinct()
+
+
+def recurring(p: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(book, key): lines that recur as running headers do."""
     t = cut(line_table(p, catalog))
     # Lines that show what they are: repeated with page numbers or the title within text; section names; lines that stand once.
     sure = t.filter("(all_paged >= 2 and all_n >= 3 and n_section = 0) or (title = 1 and n >= 2 and n_section = 0)").orderBy(F.xxhash64("book", "key"), "book", "key").limit(TRAIN).collect()
