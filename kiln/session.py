@@ -46,9 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors."""
+    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors. All files of an application lie in one folder of its id, to be deleted after it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
