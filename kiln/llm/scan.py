@@ -373,7 +373,8 @@ def recurring(p: DataFrame, catalog: DataFrame) -> DataFrame:
     t = cut(line_table(p, catalog))
     # Lines that show what they are: repeated with page numbers or the title within text; section names; lines that stand once.
     sure = t.filter("(all_paged >= 2 and all_n >= 3 and n_section = 0) or (title = 1 and n >= 2 and n_section = 0)").orderBy(F.xxhash64("book", "key"), "book", "key").limit(TRAIN).collect()
-    never = t.filter("n_section > 0 or (all_n = 1 and all_paged = 0 and title = 0)").orderBy(F.xxhash64("book", "key"), "book", "key").limit(TRAIN).collect()
+    # ... and lines that recur, but never with a page number, within an open sentence or with blank lines about them: wrapped text and underlined headings.
+    never = t.filter("n_section > 0 or (all_paged = 0 and title = 0 and (all_n = 1 or (all_within = 0 and all_tight = all_n)))").orderBy(F.xxhash64("book", "key"), "book", "key").limit(TRAIN).collect()
     x, y = [line_features(r) for r in sure] + [line_features(r) for r in never], [1] * len(sure) + [0] * len(never)
     if not sure or not never:
         return t.filter("all_paged >= 2 and n_section = 0 or title = 1").select("book", "key")
