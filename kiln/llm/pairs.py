@@ -235,7 +235,9 @@ def train(pairs: list[tuple[str | None, str | None, str | None]], refused: set[i
 
 
 def sample(questions: DataFrame, scores: DataFrame) -> tuple[list[tuple[str | None, str | None, str | None]], set[int]]:
-    """At most SAMPLE distinct pairs, the first by hash, and which of them most judges found abstaining."""
+    """At most SAMPLE distinct pairs, the first by hash among those that a hash draws (some SAMPLE * 20 of a table of any size), and which of them most judges found abstaining."""
+    every = max(1, questions.count() // (SAMPLE * 20))
+    questions = questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(every)) == 0)
     abstained = scores.groupBy("question_id").agg(F.avg(F.col("abstention").cast("double")).alias("share"))
     picked = questions.select("question_id", "question", "answer", "lang").distinct().orderBy(F.xxhash64("question_id"), "question_id", "answer").limit(SAMPLE)
     rows = picked.join(abstained, "question_id", "left").collect()
