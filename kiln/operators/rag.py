@@ -61,17 +61,22 @@ def relation_bonus(candidates: DataFrame, wanted: DataFrame, edges: DataFrame, d
 
 
 def expand(seeds: DataFrame, scores: DataFrame, edges: DataFrame, limit: int = 30, rounds: int = 3) -> DataFrame:
-    """(question_id, name, position): seeds (question_id, name) by score, then round by round their neighbours by score and name until limit. scores: (question_id, name, score); a missing score counts 0."""
+    """(question_id, name, position): seeds (question_id, name) by score, then round by round their neighbours by score and name until limit. scores: (question_id, name, score), or (name, score) for all questions; a missing score counts 0."""
     pairs = cut(both(edges))
+    on = [c for c in ("question_id", "name") if c in scores.columns]
+    scored = lambda df: df.join(scores, on, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if on == ["name"]:
+        # At most limit names are chosen before a round and that many fewer are added in it, so the best limit neighbours of a vertex hold all that it can add.
+        best = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "name"))
+        pairs = cut(scored(pairs.withColumnRenamed("dst", "name")).withColumn("k", best).filter(F.col("k") <= limit).select("src", F.col("name").alias("dst")))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "name")
-    have = seeds.select("question_id", "name").distinct().join(scores, ["question_id", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    have = scored(seeds.select("question_id", "name").distinct())
     chosen = cut(have.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit).select("question_id", "name", "position"))
     frontier = chosen
     for _ in range(rounds):
         near = frontier.join(pairs.withColumnRenamed("src", "name"), "name").select("question_id", F.col("dst").alias("name")).distinct().join(chosen, ["question_id", "name"], "left_anti")
-        ranked = near.join(scores, ["question_id", "name"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         last = chosen.groupBy("question_id").agg(F.max("position").alias("last"))
-        frontier = cut(ranked.withColumn("k", F.row_number().over(w)).join(last, "question_id").withColumn("position", F.col("k") + F.col("last")).filter(F.col("position") <= limit).select("question_id", "name", "position"))
+        frontier = cut(scored(near).withColumn("k", F.row_number().over(w)).join(last, "question_id").withColumn("position", F.col("k") + F.col("last")).filter(F.col("position") <= limit).select("question_id", "name", "position"))
         if frontier.isEmpty():
             break
         chosen = chosen.unionByName(frontier)
@@ -80,10 +85,15 @@ def expand(seeds: DataFrame, scores: DataFrame, edges: DataFrame, limit: int = 3
 
 def source_units(context: DataFrame, mentions: DataFrame, seeds: int = 3, top: int = 2) -> DataFrame:
     """(question_id, unit_id, support, rank): units that mention one of the first seeds positions, by how many context names they mention; ties go to the smaller unit. mentions: (name, unit_id)."""
-    m = mentions.distinct()
-    pool = context.filter(F.col("position") <= seeds).join(m, "name").select("question_id", "unit_id").distinct()
-    support = context.join(m, "name").groupBy("question_id", "unit_id").agg(F.countDistinct("name").alias("support"))
-    return pool.join(support, ["question_id", "unit_id"]).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("support"), "unit_id"))).filter(F.col("rank") <= top)
+    m = mentions.filter("unit_id is not null").distinct()
+    first, other = context.filter(F.col("position") <= seeds).select("question_id", "name"), F.col("name").alias("other")
+    # Names are frequent, pairs of names are not. Units with two names of the context come by pairs, all of them; among the top smallest units of a name at most as many are of those, so the rest hold all of support 1 that can be in the top.
+    few = m.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("unit_id"))).filter(F.col("k") <= top)
+    wanted = first.join(context.select("question_id", other), "question_id").filter("name <> other")
+    pairs = m.join(m.select("unit_id", other), "unit_id").filter("name <> other")
+    pool = first.join(few, "name").select("question_id", "unit_id").unionByName(wanted.join(pairs, ["name", "other"]).select("question_id", "unit_id")).distinct()
+    support = pool.join(m, "unit_id").join(context.select("question_id", "name"), ["question_id", "name"], "left_semi").groupBy("question_id", "unit_id").agg(F.countDistinct("name").alias("support"))
+    return support.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("support"), "unit_id"))).filter(F.col("rank") <= top)
 
 
 def clip(text: Column, n: int) -> Column:

@@ -11,6 +11,7 @@ from kiln.operators import quality as Q
 from kiln.operators import rag as R
 from kiln.plans import graph as GP
 from kiln.plans.base import Tables, query
+from kiln.session import cut
 
 SCORES = "(SELECT DISTINCT graph, retriever, question_id, judge, context_recall, faithfulness, abstention FROM semantic_scores)"
 
@@ -305,10 +306,9 @@ def relation_bonus(t: Tables) -> DataFrame:
 
 
 def context(t: Tables) -> DataFrame:
-    e = t.query_entities.filter("name is not null and qe_id % 50 = 0").select("question_id", F.upper(F.trim("name")).alias("name")).distinct()
-    d = G.degrees(GP.names(t), GP.edges(t)).select("name", F.col("degree").cast("double").alias("score"))
-    near = G.bfs(GP.edges(t), e.select(F.col("name").alias("seed")), 3).join(e.withColumnRenamed("name", "seed"), "seed").select("question_id", "name").distinct()
-    return R.expand(e, near.join(d, "name").select("question_id", "name", "score"), GP.edges(t), limit=12)
+    e = t.query_entities.filter("name is not null").select("question_id", F.upper(F.trim("name")).alias("name")).distinct()
+    d = cut(G.degrees(GP.names(t), GP.edges(t)).select("name", F.col("degree").cast("double").alias("score")))
+    return R.expand(e, d, GP.edges(t), limit=12)
 
 
 @query()

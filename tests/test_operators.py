@@ -252,6 +252,71 @@ def test_expansion_and_units(spark):
     assert [(r.unit_id, r.support) for r in R.source_units(c, m, seeds=1).orderBy("rank").collect()] == [("u1", 2), ("u2", 1)]
 
 
+def expand_by_hand(seeds, scores, edges, limit, rounds=3):
+    """seeds: names by question; scores by name; edges: pairs. (question, name, position)."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    order, out = lambda names: sorted(names, key=lambda n: (-scores.get(n, 0), n)), set()
+    for q, names in seeds.items():
+        chosen = frontier = order(names)[:limit]
+        for _ in range(rounds):
+            frontier = order({m for n in frontier for m in near.get(n, ())} - set(chosen))[: limit - len(chosen)]
+            chosen = chosen + frontier
+        out |= {(q, n, i) for i, n in enumerate(chosen, 1)}
+    return out
+
+
+def test_expansion_with_scores_by_name(spark):
+    rng = random.Random(3)
+    edges = [(f"v{rng.randrange(60)}", f"v{int(60 * rng.random() ** 3)}") for _ in range(220)]
+    scores = {f"v{i}": float(rng.randrange(5)) for i in range(50)}
+    seeds = {f"q{i}": {f"v{rng.randrange(70)}" for _ in range(rng.randrange(1, 9))} for i in range(40)}
+    s = spark.createDataFrame([(q, n) for q, names in seeds.items() for n in names], "question_id string, name string")
+    got = R.expand(s, spark.createDataFrame(list(scores.items()), "name string, score double"), spark.createDataFrame(edges, "src string, dst string"), limit=6)
+    assert {tuple(r) for r in got.collect()} == expand_by_hand(seeds, scores, edges, 6)
+
+
+def test_contexts_hold_every_question_and_seed(spark, sf):
+    from kiln.plans import evaluation, graph
+    from kiln.plans.base import Tables
+
+    t = Tables(spark, sf)
+    seeds, edges = {}, [(r.src, r.dst) for r in graph.edges(t).collect()]
+    for r in t.query_entities.filter("name is not null").select("question_id", F.upper(F.trim("name")).alias("name")).collect():
+        seeds.setdefault(r.question_id, set()).add(r.name)
+    degree = {r.name: r.degree for r in G.degrees(graph.names(t), graph.edges(t)).collect()}
+    want = expand_by_hand(seeds, degree, edges, 12)
+    assert {tuple(r) for r in evaluation.context_expand(t).collect()} == want
+    assert {r.question_id for r in evaluation.context_text(t).collect()} == set(seeds)
+    context = {}
+    for q, n, i in want:
+        context.setdefault(q, {})[n] = i
+    assert {(r.question_id, r.unit_id, r.support, r["rank"]) for r in evaluation.source_unit_support(t).collect()} == support_by_hand(context, seeds)
+
+
+def support_by_hand(context, names, seeds=3, top=2):
+    """context: positions by name, by question; names: those a unit mentions. (question, unit, support, rank)."""
+    out = set()
+    for q, c in context.items():
+        first = {n for n, i in c.items() if i <= seeds}
+        ranked = sorted((-len(c.keys() & m), u) for u, m in names.items() if first & m)
+        out |= {(q, u, -k, i) for i, (k, u) in enumerate(ranked[:top], 1)}
+    return out
+
+
+@pytest.mark.parametrize("top", [1, 2, 4])
+def test_source_units_of_frequent_names(spark, top):
+    rng = random.Random(top)
+    units = {f"u{i}": {f"v{int(20 * rng.random() ** 2)}" for _ in range(rng.randrange(1, 6))} for i in range(60)}
+    context = {f"q{i}": {n: k for k, n in enumerate(rng.sample([f"v{j}" for j in range(24)], rng.randrange(1, 9)), 1)} for i in range(40)}
+    c = spark.createDataFrame([(q, n, k) for q, x in context.items() for n, k in x.items()], "question_id string, name string, position int")
+    m = spark.createDataFrame([(n, u) for u, x in units.items() for n in x], "name string, unit_id string")
+    assert {(r.question_id, r.unit_id, r.support, r["rank"]) for r in R.source_units(c, m, top=top).collect()} == support_by_hand(context, units, top=top)
+
+
 def test_evidence_with_and_without_book(spark):
     q = spark.createDataFrame([("q1", "b1", ["grain", "cold"]), ("q2", "b1", []), ("q3", None, ["grain"])], "question_id string, book string, evidence array<string>")
     u = spark.createDataFrame([("u1", "b1", "Cold grain"), ("u2", "b2", "grain is cold"), ("u3", "b1", "grain")], "unit_id string, book string, text string")
