@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from kiln.operators.graph import both
 from kiln.session import cut
 
+#: Characters of the runs by which evidence and units meet.
+GRAM = 5
+#: Runs of evidence that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 200_000
+
 
 def all_evidence(questions: DataFrame, units: DataFrame, match_book: bool = True) -> DataFrame:
     """(question_id, unit_id) where every evidence pattern of the question is in the unit's text, of the same book if match_book. questions: question_id, book, evidence (literal words); units: unit_id, book, text.
 
-    With the book the join is by book; without it the first word of the rarest evidence meets the words of the units by equality, so that no question is held against every unit.
+    With the book the join is by book; without it a run of GRAM characters of the evidence, which any text that holds the evidence holds too, meets the runs of the units by equality, so that no question is held against every unit.
+    Evidence without a word that long is met by a run as long as its longest word.
     """
     q = questions.filter(F.size("evidence") > 0).select("question_id", "book", "evidence")
     u = units.select("unit_id", F.col("book").alias("unit_book"), "text").withColumn("low", F.lower("text"))
@@ -27,13 +33,42 @@ def all_evidence(questions: DataFrame, units: DataFrame, match_book: bool = True
         qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
         us = u.withColumn("salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
         return qs.join(us, (qs.book == us.unit_book) & (qs.salt == us.salt)).filter(holds).select("question_id", "unit_id").distinct()
-    words = u.select("unit_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
-    asked = q.select("question_id", F.explode(F.array_distinct(F.flatten(F.transform(low(F.col("evidence")), lambda e: F.regexp_extract_all(e, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))))).alias("word"))
-    rare = asked.join(df, "word", "left").groupBy("question_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)).alias("d"), "word")).alias("word"))
-    # The rarest word may stand within longer words of a unit; those begin or end with it in inflected languages, so whole words decide and phrases are checked after.
-    met = rare.join(words, "word").join(q.select("question_id", "evidence"), "question_id").join(u.select("unit_id", "low"), "unit_id")
-    return met.filter(holds).select("question_id", "unit_id").distinct()
+    return _anywhere(q, u)
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All runs of n characters; one empty run for 0."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _anywhere(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """all_evidence() without the book. Questions of the same evidence are checked once, under the smallest id of them; a question with several lists is met by any of them."""
+    clean = questions.filter(~F.exists("evidence", lambda e: e.isNull()) & F.col("question_id").isNotNull())
+    lists = clean.select("question_id", F.array_sort(F.array_distinct(F.transform("evidence", lambda e: F.lower(e)))).alias("evidence"))
+    asked = lists.groupBy("question_id").agg(F.array_sort(F.collect_set("evidence")).alias("lists"))
+    members = cut(asked.join(asked.groupBy("lists").agg(F.min("question_id").alias("rep")), "lists").select("rep", "question_id", "lists"))
+    one = members.filter("rep = question_id").select("rep", F.explode("lists").alias("evidence"))
+    one = cut(one.withColumn("n", F.least(F.lit(GRAM), F.array_max(F.transform("evidence", lambda e: F.length(e))))))
+    sizes = [r.n for r in one.select("n").distinct().collect()]  # at most GRAM + 1
+    if not sizes:
+        return members.join(units.select("unit_id"), F.lit(False)).select("question_id", "unit_id")
+    runs = lambda c: F.flatten(F.array(*[_grams(c, n) for n in sizes]))
+    within = lambda n: F.flatten(F.transform("evidence", lambda e: _grams(e, n)))
+    own = F.coalesce(*[F.when(F.col("n") == n, within(n)) for n in sizes])
+    keys = one.select("rep", "evidence", F.explode(F.array_distinct(own)).alias("gram"))
+    # Any run finds all units; how often it occurs in an eighth of them only tells which run leaves the fewest to check.
+    some = units.filter(F.pmod(F.xxhash64("unit_id"), F.lit(8)) == 0).select(F.explode(runs(F.col("low"))).alias("gram"))
+    wanted = _small(cut(keys.select("gram").distinct()))
+    df = some.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("df"))
+    rare = keys.join(df, "gram", "left").groupBy("rep", "evidence").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("d"), "gram")).alias("gram"))
+    met = units.select("unit_id", "low", F.explode(runs(F.col("low"))).alias("gram")).join(_small(cut(rare)), "gram")
+    found = met.filter(F.forall("evidence", lambda e: F.contains(F.col("low"), e))).select("rep", "unit_id").distinct()
+    return found.join(members.select("rep", "question_id"), "rep").select("question_id", "unit_id")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has at most BROADCAST rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def valid_relations(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -324,6 +324,26 @@ def test_evidence_with_and_without_book(spark):
     assert {tuple(r) for r in R.all_evidence(q, u, False).collect()} == {("q1", "u1"), ("q1", "u2"), ("q3", "u1"), ("q3", "u2"), ("q3", "u3")}
 
 
+def test_evidence_anywhere_is_containment(spark):
+    q = [("q1", ["schmelze"]), ("q2", ["неплоскос"]), ("q3", ["°"]), ("q4", ["--", "Grain"]), ("q5", [""]), ("q6", ["e c", "old"]), ("q7", ["(a)\n(b)"]), ("q8", ["𝐀b"]), ("q9", ["schmelze"]), ("q9", ["°"]), ("q10", ["SCHMELZE", "schmelze"]), ("q11", ["x", None])]
+    u = [("u1", "Stahlschmelzebad"), ("u2", "о неплоскостности -- grains"), ("u3", "900 °C"), ("u4", "The cold ( a)"), ("u5", "x(a)\n(b)"), ("u6", "z𝐀bc"), ("u7", ""), ("u8", "Schmelze at 5°"), ("u9", None)]
+    got = R.all_evidence(spark.createDataFrame([(i, None, e) for i, e in q], "question_id string, book string, evidence array<string>"), spark.createDataFrame([(i, "b", x) for i, x in u], "unit_id string, book string, text string"), False).collect()
+    want = {(i, j) for i, e in q for j, x in u if x is not None and None not in e and all(w.lower() in x.lower() for w in e)}
+    assert ("q1", "u1") in want and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_evidence_anywhere_against_brute_force(spark, sf):
+    from kiln.plans import evaluation
+    from kiln.plans.base import Tables
+
+    t = Tables(spark, sf)
+    units = {(r.chunk_id, r.text.lower()) for r in t.chunks.filter("text is not null").select("chunk_id", "text").collect()}
+    asked = [(r.question_id, [e.lower() for e in r.evidence]) for r in t.questions.filter("size(evidence) > 0").collect()]
+    got = evaluation.evidence_anywhere(t).collect()
+    assert {tuple(r) for r in got} == {(q, u) for q, e in asked for u, x in units if all(w in x for w in e)}
+    assert len(set(map(tuple, got))) == len(got)
+
+
 def test_answers_in_fences_and_tuples(spark):
     df = spark.createDataFrame([(1, 'Sure:\n```json\n{"a": 5}\n```'), (2, "none")], "k int, text string")
     assert {r.k: r.parsed and r.parsed.a for r in R.parse_json(df, "k", "a int").collect()} == {1: 5, 2: None}
