@@ -212,6 +212,12 @@ def cer_ascii(t: Tables) -> DataFrame:
     return a.select("audit_id", F.round(E.cer(F.col("after_text"), F.col("before_text")), 6).alias("cer"))
 
 
+@query()
+def char_error_rate(t: Tables) -> DataFrame:
+    a = t.audit_log.select("audit_id", "before_text", "after_text").distinct().filter("after_text is not null")
+    return a.select("audit_id", E.cer(F.col("after_text"), F.coalesce("before_text", F.lit(""))).alias("cer"))
+
+
 @query()
 def word_error_rate(t: Tables) -> DataFrame:
     return E.wer(t.audit_log.select("audit_id", "before_text", "after_text").distinct().filter("after_text is not null"), "audit_id", "after_text", "before_text")

@@ -224,6 +224,17 @@ def test_auc_against_pairs(spark):
     assert E.roc_auc(spark.createDataFrame(rows, "g string, label boolean, score double"), ["g"]).first().auc == pytest.approx(want)
 
 
+def test_cer_counts_characters_of_every_row(spark, sf, tmp_path):
+    from kiln.plans import registry
+
+    rows = [(1, "Walzgüte", "Walzgute"), (2, "при 900 °C", "при 9OO °С — x"), (3, "𝐀b", "b"), (4, None, "ab"), (5, "x", ""), (6, "x", None), (7, "ascii", "ascii")]
+    spark.createDataFrame(rows, "audit_id long, before_text string, after_text string").write.parquet(f"{tmp_path}/audit_log.parquet")
+    want = lambda rows: {i: E._distance(list(b), list(a or "")) / len(b) if b else None for i, a, b in rows if b is not None}
+    assert {r.audit_id: r.cer for r in registry.queries()["char_error_rate"](spark, str(tmp_path)).collect()} == want(rows)
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/audit_log.parquet").select("audit_id", "before_text", "after_text").distinct().collect()]
+    assert {r.audit_id: r.cer for r in registry.queries()["char_error_rate"](spark, sf).collect()} == want(real)
+
+
 def test_wer_and_coverage(spark):
     df = spark.createDataFrame([(1, "a b c d", "a x c"), (2, "", "a"), (3, None, None)], "k int, truth string, text string")
     assert {r.k: r.wer for r in E.wer(df, "k", "truth", "text").collect()} == {1: 0.5, 2: None, 3: None}
