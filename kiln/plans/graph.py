@@ -119,6 +119,13 @@ def shortest_path_len(t: Tables) -> DataFrame:
     return G.shortest(edges(t), seeds(t).select(F.col("seed").alias("a"), F.lit(1).alias("k")).join(ends, "k").select("a", "b"), 3)
 
 
+@query()
+def shortest_paths(t: Tables) -> DataFrame:
+    """Every queried name to every name at most 3 edges away; shortest_path_len has pairs of three names only."""
+    asked = t.query_entities.filter("name is not null").select(F.upper(F.trim("name")).alias("seed")).distinct()
+    return G.bfs(edges(t), asked, 3).select(F.col("seed").alias("a"), F.col("name").alias("b"), "distance")
+
+
 @query(f"""
 SELECT coalesce(type, 'none') AS type, count(*) AS n FROM {V} GROUP BY 1
 """)

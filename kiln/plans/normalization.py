@@ -37,6 +37,13 @@ def greek_norm(t: Tables) -> DataFrame:
     return b.select("block_id", N.normalize(F.col("text"), N.greek_rules()).alias("text"))
 
 
+@query()
+def greek_blocks(t: Tables) -> DataFrame:
+    """Every block with all Greek macros replaced; greek_norm has those whose macros its SQL can say."""
+    b = t.blocks.select("block_id", "text").distinct()
+    return b.select("block_id", N.normalize(F.col("text"), N.greek_rules()).alias("text"))
+
+
 @query()
 def normalized_chunks(t: Tables) -> DataFrame:
     return chunks(t).select("chunk_id", N.normalize(F.col("text")).alias("text"))

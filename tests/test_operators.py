@@ -71,6 +71,19 @@ def test_mask_is_inverted(spark):
     assert all(r.text == r.back for r in df.withColumn("m", m).withColumn("s", s).select("text", N.unmask(F.col("m"), F.col("s")).alias("back")).collect())
 
 
+def test_greek_macros_of_every_block(spark, sf, tmp_path):
+    import re
+
+    from kiln.plans import registry
+
+    rows = [(1, r"\sigma_y and \alpha\beta"), (2, r"\mu m, \multicolumn, \varepsilon \epsilon"), (3, r"\Delta\delta \lambda=\tau/\omega \gamma"), (4, "plain"), (5, None)]
+    spark.createDataFrame(rows, "block_id long, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/blocks.parquet").select("block_id", "text").distinct().collect()]
+    for folder, blocks in ((str(tmp_path), rows), (sf, real)):
+        want = {i: x and re.sub(r"\\([a-zA-Z]+)", lambda m: N.GREEK.get(m[1], m[0]), x) for i, x in blocks}
+        assert {r.block_id: r.text for r in registry.queries()["greek_blocks"](spark, folder).collect()} == want
+
+
 def test_annotation_keeps_its_distance(spark):
     df = spark.createDataFrame([(1, "ferrite and ferrite " + "x" * 50 + " ferrite")], "k int, text string")
     assert N.annotate(df, "k", {"ferrite": "alpha iron"}, distance=40).first().n == 2
@@ -263,6 +276,25 @@ def test_expansion_and_units(spark):
     assert [(r.unit_id, r.support) for r in R.source_units(c, m, seeds=1).orderBy("rank").collect()] == [("u1", 2), ("u2", 1)]
 
 
+def test_shortest_paths_of_every_queried_name(spark, sf):
+    from kiln.plans import graph
+    from kiln.plans.base import Tables
+
+    t, near = Tables(spark, sf), {}
+    for r in graph.edges(t).filter("src <> dst").collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    want = set()
+    for a in {r[0] for r in t.query_entities.filter("name is not null").select(F.upper(F.trim("name"))).collect()}:
+        seen, at = {a}, {a}
+        for d in range(4):
+            want |= {(a, b, d) for b in at}
+            at = {c for b in at for c in near.get(b, ())} - seen
+            seen |= at
+    got = graph.shortest_paths(t).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def expand_by_hand(seeds, scores, edges, limit, rounds=3):
     """seeds: names by question; scores by name; edges: pairs. (question, name, position)."""
     near = {}
