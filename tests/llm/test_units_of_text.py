@@ -302,6 +302,33 @@ def test_skeleton():
 # --- toxic ------------------------------------------------------------------------------------------------------------------------------
 
 
+def test_every_segment_of_a_sentence(spark):
+    m = toxic.Model({"idiot": [9.0, -1, -1], "moron": [3.0, 8.0, -1], "vermin": [-1, 7.0, -1]}, [-1, -1, -1])
+    keys = "idiot a b c d e f g h i vermin a a a a a a a a moron x y".split(" ")
+    assert sorted(m.segments(keys), key=lambda x: x[2]) == [(9.0, 0, 0, 1), (7.0, 1, 10, 11), (8.0, 1, 19, 20)]
+    assert m.segments(keys)[0] == m.segment(keys) and m.segments(["a", "b"]) == []
+    rng = random.Random(5)
+    words = {f"w{i}": [float(rng.randrange(-4, 4)) for _ in range(3)] for i in range(12)}
+    m = toxic.Model(words, [-1, -1, -1])
+
+    def by_hand(ks, at=0):
+        sums = [(sum(words[k][c] for k in ks[i:j]), c, at + i, at + j) for c in range(3) for i in range(len(ks)) for j in range(i + 1, len(ks) + 1)]
+        top = max((x[0] for x in sums), default=0)
+        if top <= 0:
+            return []
+        score, c, i, j = min((x for x in sums if x[0] == top), key=lambda x: (x[1], x[3], x[2]))
+        i = max(x[2] for x in sums if x[0] == top and x[1] == c and x[3] == j)
+        return [(score, c, i, j), *by_hand(ks[: i - at], at), *by_hand(ks[j - at :], j)]
+
+    for _ in range(60):
+        ks = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 14))]
+        assert sorted(m.segments(ks)) == sorted(by_hand(ks))
+    two = toxic.Model({"idiot": [9.0, -1, -1], "vermin": [-1, 7.0, -1]}, [-1, -1, -1])
+    rows = toxic.segments(spark.createDataFrame([(1, "0 " + " ".join(["idiot", *"abcdefghij", "vermin"]))], "doc_id long, keys string"), two).collect()
+    assert {(r.cls, r.score, r.n) for r in rows} == {(0, 9.0, 1), (1, 7.0, 0), (-1, 0.0, 0)}
+
+
+
 def test_masking_is_taken_back():
     for a, b in (("1di0t", "idiot"), ("b@$t@rd", "bastard"), ("scumbaaaag", "scumbag"), ("тупiцa", "тупица"), ("крррретин", "кретин"), ("идi0т", "идиот")):
         assert toxic.key(a) == toxic.key(b)
