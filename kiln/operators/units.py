@@ -1,12 +1,12 @@
 """Measured quantities brought to one unit each.
 
-A text yields observations: a number with the unit beside it, or a bare number in a sentence about a quantity.
+A text yields observations: a number with the unit beside it, or a bare number in a sentence about a quantity whose unit the chunk announces.
 All observations of one device (book, quantity, stretch of the book) form a sequence; the unit is the hidden state of a
 hidden Markov model, the log of the converted value is seen against a smooth level, and Viterbi decodes the units.
-A unit written beside the number binds the state; a unit announced elsewhere in the chunk favours it; else the level decides.
+A unit written beside the number binds the state; a unit announced elsewhere in the chunk favours it against the level.
 
 Defined results: null or empty text gives no rows; repeated rows count once; null book or position form a device of their own;
-numbers without a unit beside them or announced in their chunk have evidence 'level' and are left out of ``found``.
+numbers without a unit beside them or announced in their chunk are not read, so they are in neither ``normalize`` nor ``found``.
 """
 
 from __future__ import annotations
@@ -242,7 +242,7 @@ def observe(chunks: DataFrame) -> DataFrame:
 
 
 def normalize(chunks: DataFrame) -> DataFrame:
-    """Every number of chunks.text in the common unit: chunk_id, book, quantity, number, unit, evidence, common_value (double)."""
+    """Every number of chunks.text with a unit beside it or announced in its chunk, in the common unit: chunk_id, book, quantity, number, unit, evidence, common_value (double)."""
     seen = observe(chunks).withColumn("stretch", F.floor(F.coalesce(F.col("start_pos"), F.lit(-1)) / SEGMENT))
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
