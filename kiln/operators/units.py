@@ -1,12 +1,16 @@
 """Measured quantities brought to one unit each.
 
-A text yields observations: a number with the unit beside it, or a bare number in a sentence about a quantity whose unit the chunk announces.
-All observations of one device (book, quantity, stretch of the book) form a sequence; the unit is the hidden state of a
-hidden Markov model, the log of the converted value is seen against a smooth level, and Viterbi decodes the units.
-A unit written beside the number binds the state; a unit announced elsewhere in the chunk favours it against the level.
+A text yields observations: a number with the unit beside it, or a bare number in a sentence about a quantity, with or without a unit that the chunk announces.
+All observations of one device (book and series) form a sequence in the order of the book. The unit is the hidden state of a hidden
+Markov model: a written unit is right but for a misprint (MISPRINT), an announced one but for a slip (SLIP), units switch with SWITCH,
+and the log of the converted value is drawn about a smooth level of the device, estimated from the data. Viterbi decodes the units, so a
+value far off the level under its written unit takes the unit that fits, and bare numbers take theirs from the level alone.
 
-Defined results: null or empty text gives no rows; repeated rows count once; null book or position form a device of their own;
-numbers without a unit beside them or announced in their chunk are not read, so they are in neither ``normalize`` nor ``found``.
+A book is scanned in stretches; each sums up as the least cost from every unit at its start to every unit at its end, the summaries are
+chained over the book, and each stretch is decoded between the units it begins and ends with: the result does not depend on STRETCH but for the level.
+
+Defined results: null or empty text gives no rows; repeated rows count once; rows of a null book are one device; a chunk without a position is a sequence
+of its own. ``normalize`` holds every number read, ``found`` those whose unit stands beside them or in their chunk.
 """
 
 from __future__ import annotations
@@ -18,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.session import fine
+from kiln.session import cut, fine
 
-#: Characters of a book that one device sequence covers; bounds the rows of one task for any book size.
-SEGMENT = 400_000
+#: Characters of a book that one task decodes, and over which the level is one.
+STRETCH = 200_000
 
 INCH, KGF, PSI, FT_LBF = 25_400.0, 9.80665, 0.00689475729, 1.35581795
 DEG = {"K": 1.0, "C": 1.0, "F": 5 / 9}
@@ -181,81 +185,166 @@ def observations(text: str | None, lang: str | None) -> list[tuple[int, str, str
                 if m.group(g):
                     out.append((start + m.start(g), u[0], series, number(m.group(g), comma), u[1], None))
             taken.append(m.span())
-        if not announced:
-            continue
         for m in _BARE.finditer(s):
             if any(a <= m.start() < b for a, b in taken) or not _LEAD.search(s[: m.start()]):
                 continue
-            for quantity in announced:
+            for quantity in [*announced, *(q for q in _CUES if q not in announced)]:
                 if _CUE_RE[quantity].search(s):
                     series = "grain" if quantity == "length" and _GRAIN.search(s) else quantity
                     nxt = re.match(rf"(?:{_SEP})({_NUM})(?![\w])", s[m.end() :])
-                    out.append((start + m.start(), quantity, series, number(m["b"], comma), None, announced[quantity]))
+                    out.append((start + m.start(), quantity, series, number(m["b"], comma), None, announced.get(quantity)))
                     if nxt and not _LEAD.search(s[: m.end() + nxt.start(1)]):
-                        out.append((start + m.end(), quantity, series, number(nxt[1], comma), None, announced[quantity]))
+                        out.append((start + m.end(), quantity, series, number(nxt[1], comma), None, announced.get(quantity)))
                     break
     return out
 
 
-#: Log of the usual common value and its spread, by series.
-LEVEL = {"temperature": (math.log(950), 0.35), "stress": (math.log(500), 0.4), "length": (math.log(18_000), 0.8), "grain": (math.log(20), 0.7), "cooling_rate": (math.log(1200), 1.0), "energy": (math.log(150), 0.6), "force": (math.log(30_000), 0.9)}
-STATED, ANNOUNCED, SWITCH, PULL, WORST = 40.0, 7.0, 1.5, 0.1, 9.0
+#: Probabilities of a misprinted unit, of a value in another unit than its chunk announces, of a switch of unit, and of a value that no level explains (against the peak of the level's density).
+MISPRINT, SLIP, SWITCH, STRAY = 1e-4, 5e-3, 0.2, 1e-5
+#: Observations that the level of a device weighs against those of a stretch, and that of the series against those of a device.
+PULL = 8.0
+#: Least spread of the log values about their level.
+LEAST_SPREAD = 0.1
+_SWITCH = -math.log(SWITCH / (1 - SWITCH))
+_DTYPE = "chunk_id string, book string, start_pos long, off int, quantity string, series string, number double, stated string, announced string, logc double"
+_KEYS = ["device", "series", "stretch"]
 
 
-def viterbi(series: str, quantity: str, values: np.ndarray, stated: list, announced: list) -> list[str]:
-    """Most likely unit of each number. A state carries the level that its best path has reached; a step costs the squared log jump off that level (at most WORST), a switch of unit SWITCH."""
+def costs(quantity: str, values: np.ndarray, stated: list, announced: list, level: np.ndarray, spread: float) -> np.ndarray:
+    """Negative log-probability of each observation under each unit, up to a constant."""
     units = list(UNITS[quantity])
     scale, offset = np.array([UNITS[quantity][u] for u in units]).T
-    mean, sd = LEVEL[series]
-    level, cost, back = np.full(len(units), mean), np.zeros(len(units)), []
-    for v, s, a in zip(values, stated, announced):
-        log = np.log(np.maximum(v * scale + offset, 1e-9))
-        local = np.zeros(len(units))
-        if s is not None:
-            local += np.where(np.array(units) == s, 0, STATED)
-        elif a is not None:
-            local += np.where(np.array(units) == a, 0, ANNOUNCED)
-        jump = np.minimum(0.5 * ((log[None, :] - level[:, None]) / sd) ** 2, WORST)
-        total = cost[:, None] + SWITCH * (1 - np.eye(len(units))) + jump + local[None, :]
-        best = total.argmin(axis=0)
-        back.append(best)
-        cost = total[best, np.arange(len(units))]
-        cost -= cost.min()
-        level = level[best] + PULL * np.clip(log - level[best], -sd, sd)
-    out, k = [], int(cost.argmin())
-    for best in reversed(back):
-        out.append(units[k])
-        k = int(best[k])
+    z = (np.log(np.maximum(values[:, None] * scale + offset, 1e-9)) - level[:, None]) / spread
+    out = -np.log((1 - STRAY) * np.exp(-0.5 * np.minimum(np.abs(z), 30) ** 2) + STRAY)
+    at = {u: i for i, u in enumerate(units)}
+    for given, p in ((stated, MISPRINT), (announced, SLIP)):
+        k = np.array([at[x] if x is not None and (given is stated or y is None) else -1 for x, y in zip(given, stated)], int)
+        rows = np.flatnonzero(k >= 0)
+        out[rows] += -math.log(p / (len(units) - 1))
+        out[rows, k[rows]] += math.log(p / (len(units) - 1)) - math.log(1 - p)
+    return out
+
+
+def viterbi(local: np.ndarray, first: int | None = None, last: int | None = None) -> list[int]:
+    """States of the least cost for local costs (n x states), with a cost for each switch; first: the state before the sequence, last: its last state."""
+    n, states = local.shape
+    cost = np.zeros(states) if first is None else np.where(np.arange(states) == first, 0.0, _SWITCH)
+    cost, back, all_ = cost + local[0], np.zeros((n, states), np.int16), np.arange(states)
+    for t in range(1, n):
+        k = int(cost.argmin())
+        moved = cost[k] + _SWITCH
+        stay = cost <= moved
+        back[t] = np.where(stay, all_, k)
+        cost = np.where(stay, cost, moved) + local[t]
+    k = int(cost.argmin()) if last is None else last
+    out = [k]
+    for t in range(n - 1, 0, -1):
+        k = int(back[t, k])
+        out.append(k)
     return out[::-1]
 
 
+def summed(local: np.ndarray) -> np.ndarray:
+    """Least cost of a stretch from each state before it (rows) to each state at its end (columns)."""
+    states = local.shape[1]
+    d = np.where(np.eye(states, dtype=bool), 0.0, _SWITCH) + local[0]
+    for x in local[1:]:
+        d = np.minimum(d, d.min(1, keepdims=True) + _SWITCH) + x
+    return d
+
+
+def chained(sums: list[np.ndarray]) -> list[tuple[int | None, int]]:
+    """(state before, state at the end) of each stretch on the path of least cost through all of them."""
+    back = []
+    # Before the first observation any state is as likely as any other, and no switch is paid.
+    cost = np.min(sums[0], 0)
+    for d in sums[1:]:
+        total = cost[:, None] + d
+        back.append(total.argmin(0))
+        cost = total.min(0)
+        cost -= cost.min()
+    ends = [int(cost.argmin())]
+    for b in reversed(back):
+        ends.append(int(b[ends[-1]]))
+    ends.reverse()
+    return [(ends[i - 1] if i else None, e) for i, e in enumerate(ends)]
+
+
 def observe(chunks: DataFrame) -> DataFrame:
-    """One row per number with or without a unit. chunks: chunk_id, book, lang, start_pos, text; other columns are not read."""
+    """One row per number with or without a unit; logc is the log of the common value under the written or announced unit. chunks: chunk_id, book, lang, start_pos, text; other columns are not read."""
+
+    def log(quantity: str, v: float, unit: str | None) -> float | None:
+        if unit is None:
+            return None
+        scale, offset = UNITS[quantity][unit]
+        return math.log(max(v * scale + offset, 1e-9))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(c, k, p, *o) for c, k, p, g, t in zip(b.chunk_id, b.book, b.start_pos, b.lang, b.text) for o in observations(t, g)]
-            yield pd.DataFrame(rows, columns=["chunk_id", "book", "start_pos", "off", "quantity", "series", "number", "stated", "announced"])
+            rows = [(c, k, p, *o, log(o[1], o[3], o[4] or o[5])) for c, k, p, g, t in zip(b.chunk_id, b.book, b.start_pos, b.lang, b.text) for o in observations(t, g)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DTYPE.split(", ")])
 
     cols = chunks.select("chunk_id", "book", F.col("start_pos").cast("long").alias("start_pos"), "lang", "text").filter(F.col("text").rlike(r"\d"))
-    return fine(cols).mapInPandas(run, "chunk_id string, book string, start_pos long, off int, quantity string, series string, number double, stated string, announced string").dropDuplicates()
+    return fine(cols).mapInPandas(run, _DTYPE).dropDuplicates()
+
+
+def levels(seen: DataFrame) -> DataFrame:
+    """(device, series, stretch, level, spread, stretches): level of the log values of each stretch, drawn to that of its device, which is drawn to that of the series; sums only, one row a stretch."""
+    sums = cut(seen.groupBy(*_KEYS).agg(F.count("logc").alias("n"), F.coalesce(F.sum("logc"), F.lit(0.0)).alias("s"), F.coalesce(F.sum(F.col("logc") * F.col("logc")), F.lit(0.0)).alias("q"), F.avg(F.log(F.greatest(F.abs("number"), F.lit(1e-9)))).alias("bare")))
+    device = Window.partitionBy("device", "series")
+    rows = sums.withColumn("dn", F.sum("n").over(device)).withColumn("ds", F.sum("s").over(device)).withColumn("stretches", F.count("*").over(device))
+    within = sums.groupBy("device", "series").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.avg("bare").alias("bare"))
+    per = within.groupBy("series").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.when(F.col("n") > 0, F.col("q") - F.col("s") * F.col("s") / F.col("n"))).alias("rest"), F.avg("bare").alias("bare"))
+    # One row a series, of which there are as many as quantities and one.
+    per = per.select("series", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.col("bare")).alias("mean"), F.greatest(F.coalesce(F.sqrt(F.greatest(F.col("rest") / F.greatest(F.col("n") - 1, F.lit(1)), F.lit(0.0))), F.lit(0.0)), F.lit(LEAST_SPREAD)).alias("spread"))
+    rows = rows.join(F.broadcast(per), "series")
+    own = (F.col("ds") + PULL * F.col("mean")) / (F.col("dn") + PULL)
+    return rows.select(*_KEYS, ((F.col("s") + PULL * own) / (F.col("n") + PULL)).alias("level"), "spread", "stretches")
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["start_pos", "chunk_id", "off", "number"], kind="stable")
+
+
+def _local(pdf: pd.DataFrame) -> np.ndarray:
+    null = lambda s: [None if pd.isna(x) else x for x in s]
+    return costs(pdf.quantity.iloc[0], pdf.number.to_numpy(), null(pdf.stated), null(pdf.announced), pdf.level.to_numpy(), float(pdf.spread.iloc[0]))
 
 
 def normalize(chunks: DataFrame) -> DataFrame:
-    """Every number of chunks.text with a unit beside it or announced in its chunk, in the common unit: chunk_id, book, quantity, number, unit, evidence, common_value (double)."""
-    seen = observe(chunks).withColumn("stretch", F.floor(F.coalesce(F.col("start_pos"), F.lit(-1)) / SEGMENT))
+    """Every number of chunks.text that is measured, in the common unit: chunk_id, book, quantity, number, written (the unit beside it, else the announced one), unit (decoded), evidence (stated, announced, level), common_value (double)."""
+    # A chunk without a position stands nowhere in its book.
+    stretch = F.coalesce(F.floor(F.col("start_pos") / STRETCH), -1 - F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40)))
+    seen = cut(observe(chunks).withColumn("stretch", stretch).withColumn("device", F.coalesce(F.concat(F.lit("="), "book"), F.lit(""))))
+    level = cut(levels(seen))
+    rows = fine(seen, by=tuple(_KEYS)).join(level, _KEYS)
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"device": pdf.device.iloc[:1], "series": pdf.series.iloc[:1], "stretch": pdf.stretch.iloc[:1], "costs": [summed(_local(_ordered(pdf))).ravel()]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("stretch")
+        side = math.isqrt(len(pdf.costs.iloc[0]))
+        path = chained([np.asarray(c).reshape(side, side) for c in pdf.costs])
+        return pdf[_KEYS].assign(first=pd.array([x for x, _ in path], "Int32"), last=[y for _, y in path])
+
+    # Books of one stretch need no chain; a stretch of a chunk without a position follows nothing.
+    long = rows.filter("stretches > 1 and stretch >= 0").groupBy(*_KEYS).applyInPandas(summary, "device string, series string, stretch long, costs array<double>")
+    ends = long.groupBy("device", "series").applyInPandas(chain, "device string, series string, stretch long, first int, last int")
+    rows = rows.join(ends, _KEYS, "left")
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_pos", "chunk_id", "off", "number"], kind="stable")
-        q = pdf.quantity.iloc[0]
-        null = lambda s: [None if pd.isna(x) else x for x in s]
-        units = viterbi(pdf.series.iloc[0], q, pdf.number.to_numpy(), null(pdf.stated), null(pdf.announced))
-        k = np.array([UNITS[q][u] for u in units])
-        return pd.DataFrame({"chunk_id": pdf.chunk_id, "book": pdf.book, "quantity": q, "number": pdf.number, "unit": units, "evidence": np.where(pdf.stated.notna(), "stated", np.where(pdf.announced.notna(), "announced", "level")), "common_value": pdf.number.to_numpy() * k[:, 0] + k[:, 1]})
+        pdf = _ordered(pdf)
+        q, end = pdf.quantity.iloc[0], [None if pd.isna(x) else int(x) for x in (pdf["first"].iloc[0], pdf["last"].iloc[0])]
+        names, k = list(UNITS[q]), np.array(list(UNITS[q].values()))
+        path = viterbi(_local(pdf), *end)
+        written = pdf.stated.where(pdf.stated.notna(), pdf.announced)
+        evidence = np.where(pdf.stated.notna(), "stated", np.where(pdf.announced.notna(), "announced", "level"))
+        return pd.DataFrame({"chunk_id": pdf.chunk_id, "book": pdf.book, "quantity": q, "number": pdf.number, "written": written, "unit": [names[i] for i in path], "evidence": evidence, "common_value": pdf.number.to_numpy() * k[path, 0] + k[path, 1]})
 
-    return seen.groupBy("book", "series", "stretch").applyInPandas(decode, "chunk_id string, book string, quantity string, number double, unit string, evidence string, common_value double")
+    return rows.groupBy(*_KEYS).applyInPandas(decode, "chunk_id string, book string, quantity string, number double, written string, unit string, evidence string, common_value double")
 
 
 def found(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, quantity, common_value): distinct values whose unit is written beside them or in their chunk."""
+    """(chunk_id, quantity, common_value): distinct values whose unit is written beside them or in their chunk, under the decoded unit."""
     return normalize(chunks).filter(F.col("evidence") != "level").select("chunk_id", "quantity", F.round("common_value").cast("long").alias("common_value")).distinct()

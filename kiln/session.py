@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -45,15 +46,60 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors. All files of an application lie in one folder of its id, to be deleted after it."""
+    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors. All files of an application lie in one folder of its id, which clear() and the end of the driver delete."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
+    if not _cleared:
+        # Later than the hooks of the gateway, so it runs before them.
+        atexit.register(_at_end)
+    _cleared.add(spark.sparkContext.applicationId)
+    path = f"{_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what cut() wrote for df, once nothing reads it any more: a round of a loop releases the round before."""
+    if path := getattr(df, "_cut_path", None):
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that cut() wrote in this application; results that are not written yet can then not be read."""
+    _delete(spark, _folder(spark))
+
+
+_cleared: set[str] = set()
+
+
+def _at_end() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        if spark is not None and spark.sparkContext.applicationId in _cleared:
+            clear(spark)
+    except Exception:  # the gateway may be gone; the folder then stays for its owner to delete
+        pass
+
+
+#: Bytes of a task up to which rows are spread further where Python work per row is heavy.
+SPREAD = 16 << 20
+
 
+def fine(df: DataFrame, factor: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Spread rows over factor tasks a core, by the keys in by if given, where Python work per row is heavy and the table is small; larger ones are split well by their scan or shuffle.
 
-def fine(df: DataFrame, factor: int = 2) -> DataFrame:
-    """Spread rows over at least factor tasks a core where Python work per row is heavy and the scan has fewer splits; larger scans are left as they are."""
+    Decided on the optimizer's estimate of the size, so no job runs for it. Grouping by the same keys afterwards needs no further shuffle."""
     n = df.sparkSession.sparkContext.defaultParallelism * factor
-    return df.repartition(n) if df.rdd.getNumPartitions() < n // 2 else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(n, *by) if size < n * SPREAD else df
