@@ -200,6 +200,62 @@ def test_noise_is_found_and_mended(spark):
     assert "THE MILL REVIEW" not in fixed["b_c2"] and "\n" not in fixed["b_c2"].strip() and fixed["b_x"] is None and "-" not in fixed["b_c1"]
 
 
+def test_cost_of_cores_equals_the_whole():
+    """Against the plain recursion over all splits."""
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def plain(a, b):
+        if not a and not b:
+            return 0.0
+        best = 9e9
+        for p in range(3):
+            for q in range(3):
+                if (p or q) and p <= len(a) and q <= len(b):
+                    x, y = a[:p], b[:q]
+                    c = 0.0 if x == y and p == 1 else 0.3 if (x, y) in scan._PAIRS else 1.0 if p <= 1 and q <= 1 else 9e9
+                    if c < 9e9:
+                        best = min(best, c + plain(a[p:], b[q:]))
+        return best
+
+    rnd = random.Random(3)
+    for _ in range(400):
+        w = "".join(rnd.choice("rnmclidoaei") for _ in range(rnd.randint(3, 9)))
+        v = scan.misread(w, rnd) if rnd.random() < 0.7 else "".join(rnd.choice("rnmclidoaei") for _ in range(rnd.randint(3, 9)))
+        assert scan.cost(v, w)[0] == pytest.approx(plain(v, w)), (v, w)
+
+
+def test_working_form_knows_its_places():
+    text = "Der Wert 10 mm² bei 5 m³, ½ und x¹: Gefu\u0308ge, ﬁne, \u200bna\u00a0ja"
+    p = scan.Page(text)
+    assert "".join(text[slice(*p.place(i, i + 1))] for i in range(len(p.text))).replace("\u200b", "") == text.replace("ﬁ", "ﬁﬁ").replace("\u200b", "")
+    assert text[slice(*p.place(*next((a, b) for w, a, b in p.words if w == "gefüge")))] == "Gefu\u0308ge"
+
+
+def test_text_outside_the_cases_is_unchanged():
+    text = "Die Fläche ist 10 mm² bei 5 m³ und ½ x¹.\n\n| a | b |\n|---|---|\n12\n| c | d |\n\n```\n1000\nfoo- bar\n```\n\n1984\n\nEnde  mit   Lücken."
+    assert scan.mend(text, {}, set(), set()) == text
+    long = "A RUNNING HEADER OF A BOOK WITH A VERY LONG TITLE THAT IS FAR BEYOND ANY NINETY CHARACTERS THAT A LINE MAY HAVE"
+    page = f"The strip is cool-\n{long}\n\n- 12 -\n\ned in air at 10 mm² and recrystalllzed there."
+    head = next(s for s in scan.Page(page).shorts if s[1] == long)
+    gone = {head[8], next(s[8] for s in scan.Page(page).shorts if s[2] == "12")}
+    assert scan.mend(page, {"recrystalllzed": "recrystallized"}, {("cool", "ed", "-")}, gone) == "The strip is cooled in air at 10 mm² and recrystallized there."
+
+
+def test_halves_far_apart_are_one_break():
+    text = "The strip is cool-\n" + "\n".join(f"Fig. {i}. Rolls and stands" for i in range(30)) + "\ned in air."
+    assert scan.parse(text)[1][0][:2] == ("cool", "ed")
+    assert scan.parse("The strip is cool-\nAll is said here.\ned in air.")[1] == []
+
+
+def test_numbers_in_columns_are_no_page_numbers(spark):
+    text = "A sentence stands here and it goes on\n\n{}\n\nuntil it ends there, as any sentence does.\n\n1000\n2000\n3000\nA sentence closes the page."
+    chunks = spark.createDataFrame([(f"b_c{i}", "b", None, text.format(17 + i)) for i in range(30)], "chunk_id string, book string, section string, text string")
+    audit = spark.createDataFrame([], "audit_id long, chunk_id string, before_text string, after_text string")
+    got = {(r.record_key, r.fragment) for r in scan.noise(chunks, audit, spark.createDataFrame([], "book string, title string")).filter("noise = 'page_number'").collect()}
+    assert got == {(f"b_c{i}", str(17 + i)) for i in range(30)}
+
+
 # --- pairs ------------------------------------------------------------------------------------------------------------------------------
 
 
