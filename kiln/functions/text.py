@@ -65,3 +65,11 @@ def language(text: Column, share: float = 0.3) -> Column:
 def squeeze(text: Column) -> Column:
     """Blanks collapsed, none before punctuation, none at the ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r" ([,.;:!?])", "$1"))
+
+
+def clip_bytes(text: Column, n: int) -> Column:
+    """The longest head of text of at most n bytes in UTF-8, no character cut: continuation bytes at the end go with their character."""
+    head = F.hex(F.substring(F.encode(text, "UTF-8"), 1, n + 1))
+    # Of n + 1 bytes drop the last, or all that belong to the character it is part of.
+    cut = F.regexp_replace(head, r"^((?:..)*?)(?:[0-7].|[C-F].(?:[89AB].)*)$", "$1")
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.decode(F.unhex(cut), "UTF-8"))

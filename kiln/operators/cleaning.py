@@ -142,6 +142,26 @@ def numbers(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return raw.select(key, F.regexp_replace("number", ",", ".").alias("number"))
 
 
+def formulas(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, formula): every formula between dollar signs, without blanks."""
+    raw = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\$[^$\n]+\$"), F.lit(0))).alias("formula"))
+    return raw.select(key, F.replace("formula", F.lit(" "), F.lit("")).alias("formula"))
+
+
+def cells(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, cell): every cell of an HTML table that is not empty, in lower case."""
+    raw = texts.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"<td>([^<]*)</td>"), F.lit(1))).alias("cell"))
+    return raw.select(key, F.lower(F.trim("cell")).alias("cell")).filter("cell <> ''")
+
+
+def kept_and_lost(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Rows of before with how often each stands (n_before), is kept (n_kept) and is lost (n_lost) in after, as multisets: one count a side and one join, however often a row stands."""
+    cols = before.columns
+    a, b = before.groupBy(*cols).agg(F.count("*").alias("n_before")), after.groupBy(*cols).agg(F.count("*").alias("n_after"))
+    kept = F.least("n_before", F.coalesce("n_after", F.lit(0)))
+    return a.join(b, cols, "left").select(*cols, "n_before", kept.alias("n_kept"), (F.col("n_before") - kept).alias("n_lost"))
+
+
 def changed_words(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """(key, changed): words that a sequence alignment replaces, deletes or inserts; of a replaced stretch the longer side counts."""
 

@@ -96,6 +96,28 @@ def block_coverage(pairs: DataFrame, key: str, block: str, text: str, least: int
     return pairs.select(key, F.col(block).alias("_a"), F.col(text).alias("_b")).mapInPandas(run, f"{key} {dict(pairs.dtypes)[key]}, coverage double")
 
 
+def detection(rows: DataFrame, group: list[str], predicted: str, wanted: str, weight: str) -> DataFrame:
+    """(group, total, n, tp, fp, fn, precision, recall, f1, weighted_f1): of rows with two booleans, by group and over all; weighted_f1 of the total is the mean of the groups by their weight. Undefined shares are null, an F1 without any case 1."""
+    ok = rows.filter(F.col(predicted).isNotNull() & F.col(wanted).isNotNull())
+    p, w = F.col(predicted), F.col(wanted)
+    s = ok.rollup(*group).agg(F.grouping(group[0]).cast("int").alias("total"), F.count("*").alias("n"), F.count_if(p & w).alias("tp"), F.count_if(p & ~w).alias("fp"), F.count_if(~p & w).alias("fn"), F.sum(weight).alias("w"))
+    div = lambda a, b: a / F.nullif(b, F.lit(0))
+    f1 = F.coalesce(div(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(1.0))
+    s = s.withColumn("f1", f1)
+    mean = s.filter("total = 0").agg((F.sum(F.col("f1") * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("weighted_f1"), F.lit(1).alias("total"))
+    out = s.join(mean, "total", "left")
+    return out.select(*group, "total", "n", "tp", "fp", "fn", div(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), div(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), "f1", "weighted_f1")
+
+
+def variant_report(rows: DataFrame, base: str) -> DataFrame:
+    """(metric, variant, kind, base_value, value, delta, noise, clear): each metric of each variant beside the base. rows: (variant, repeat, metric, kind, value) of repeated runs; values are means over repeats, noise is the widest spread that repeats of one variant show."""
+    per = rows.filter("value is not null").groupBy("metric", "variant").agg(F.first("kind").alias("kind"), F.avg("value").alias("value"), (F.max("value") - F.min("value")).alias("spread"))
+    noise = per.groupBy("metric").agg(F.max("spread").alias("noise"))
+    ground = per.filter(F.col("variant") == base).select("metric", F.col("value").alias("base_value"))
+    out = per.filter(F.col("variant") != base).join(ground, "metric").join(noise, "metric").withColumn("delta", F.col("value") - F.col("base_value"))
+    return out.select("metric", "variant", "kind", "base_value", "value", "delta", "noise", clear_change(F.col("value"), F.col("base_value"), F.col("noise"), F.col("kind")).alias("clear"))
+
+
 def clear_change(value: Column, base: Column, noise: Column, kind: Column) -> Column:
     """A difference is clear above twice the noise and above its floor: 0.03 for a share, a tenth of the base for a count."""
     floor = F.when(kind == "share", F.lit(0.03)).otherwise(F.abs(base) * 0.1)

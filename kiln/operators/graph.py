@@ -6,16 +6,19 @@ algorithms; ties go to the smaller name; an empty graph gives empty results.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.session import cut
+from kiln.session import cut, release
 
-#: Edges of one component that the per-component operators (cycle basis, articulation points, depth-first search, mean path) take; larger ones are refused.
+#: Edges of one component that the per-component operators (cycle basis, articulation points, depth-first search) take; larger ones are refused. Mean paths of larger ones come from searches over joins.
 MAX_COMPONENT = 500_000
+#: Rounds after which the tables of a loop are folded into one.
+FOLD = 32
 
 
 def build(relations: DataFrame) -> DataFrame:
@@ -43,32 +46,36 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("name").distinct().join(d, "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(name, component): the smallest name of the component. Each round takes the least label about a vertex and then the label of that label, so that rounds grow with the logarithm of the diameter."""
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, component): the smallest name of the component. Each round takes the least label about a vertex and then the label of that label, so that rounds grow with the logarithm of the diameter; they end when no label falls.
+
+    The join on labels has one row a name on its right side, so the rows of a giant component on the left are split by the skew join of adaptive execution."""
     pairs = cut(both(edges))
-    labels = cut(vertices.select("name").distinct().withColumn("component", F.col("name")))
-    for _ in range(rounds):
+    labels = before = cut(vertices.select("name").distinct().withColumn("component", F.col("name")))
+    while True:
         near = pairs.join(labels.select(F.col("name").alias("dst"), F.col("component").alias("other")), "dst").groupBy(F.col("src").alias("name")).agg(F.min("other").alias("other"))
         step = labels.join(near, "name", "left").select("name", F.col("component").alias("old"), F.least("component", F.coalesce("other", "component")).alias("mid"))
         jump = step.select(F.col("name").alias("mid"), F.col("mid").alias("far"))
         new = cut(step.join(jump, "mid", "left").select("name", "old", F.least("mid", F.coalesce("far", "mid")).alias("component")))
-        labels = new.select("name", "component")
+        release(before)
+        before, labels = new, new.select("name", "component")
         if new.filter("old <> component").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(seed, name, distance): shortest distances from each seed (column seed) up to depth. A frontier meets its neighbours; what is reached is left out."""
+def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(seed, name, distance): shortest distances from each seed (column seed) up to depth, or to all that it reaches. A frontier meets its neighbours; what is reached is left out."""
     pairs = cut(both(edges))
     reached = cut(seeds.select("seed").distinct().select("seed", F.col("seed").alias("name"), F.lit(0).alias("distance")))
     frontier = reached
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = frontier.select("seed", F.col("name").alias("src")).join(pairs, "src").select("seed", F.col("dst").alias("name")).distinct()
         frontier = cut(step.join(reached.select("seed", "name"), ["seed", "name"], "left_anti").withColumn("distance", F.lit(d)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if d % FOLD == 0:
+            reached = cut(reached)
     return reached
 
 
@@ -93,45 +100,43 @@ def clustering(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return d.withColumn("clustering", F.when(F.col("degree") > 1, 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1))).otherwise(0.0))
 
 
-def forest(vertices: DataFrame, edges: DataFrame, labels: DataFrame | None = None, rounds: int = 500) -> DataFrame:
-    """(name, parent, level): a breadth-first tree of each component, rooted at its smallest name; of several parents the smallest name counts."""
+def forest(vertices: DataFrame, edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(name, parent, level): a breadth-first tree of each component, rooted at its smallest name; of several parents the smallest name counts. A round a level, until no vertex is reached; levels are folded into one table every FOLD rounds."""
     pairs = cut(both(edges))
     labels = labels if labels is not None else components(vertices, edges)
     tree = cut(labels.filter("name = component").select("name", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("level")))
     frontier = tree
-    for level in range(1, rounds + 1):
+    for level in itertools.count(1):
         step = frontier.select(F.col("name").alias("src")).join(pairs, "src").groupBy(F.col("dst").alias("name")).agg(F.min("src").alias("parent"))
         frontier = cut(step.join(tree.select("name"), "name", "left_anti").select("name", "parent", F.lit(level).alias("level")))
         if frontier.isEmpty():
             return tree
         tree = tree.unionByName(frontier)
-    raise RuntimeError(f"the forest is deeper than {rounds}")
+        if level % FOLD == 0:
+            tree = cut(tree)
 
 
 def bridges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst): edges in no cycle. Each edge beside the tree draws a 64-bit label; a tree edge is covered if the labels at the ends below it do not cancel out. Levels are folded from the leaves up."""
+    """(src, dst): edges in no cycle. Each edge beside the tree draws a 64-bit label; a tree edge is covered if the labels at the ends below it do not cancel out. Rounds grow with the logarithm of the depth."""
     tree = cut(forest(vertices, edges))
     used = tree.filter("parent is not null").select(F.least("name", "parent").alias("src"), F.greatest("name", "parent").alias("dst"))
     e = edges.filter("src <> dst").select("src", "dst").distinct()
     rest = e.join(used, ["src", "dst"], "left_anti").withColumn("label", F.xxhash64("src", "dst"))
     at = rest.select(F.col("src").alias("name"), "label").unionByName(rest.select(F.col("dst").alias("name"), "label")).groupBy("name").agg(F.bit_xor("label").alias("own"))
-    state = cut(tree.join(at, "name", "left").withColumn("sum", F.coalesce("own", F.lit(0).cast("long"))).select("name", "parent", "level", "sum"))
-    deepest = state.agg(F.max("level")).first()[0] or 0
-    done, carried = None, None
-    for level in range(deepest, 0, -1):
-        here = state.filter(F.col("level") == level)
-        if carried is not None:
-            here = here.join(carried.select(F.col("to").alias("name"), "up"), "name", "left").withColumn("sum", F.col("sum").bitwiseXOR(F.coalesce("up", F.lit(0).cast("long")))).drop("up")
-        here = cut(here)
-        carried = here.groupBy(F.col("parent").alias("to")).agg(F.bit_xor("sum").alias("up"))
-        open_ = here.filter("sum = 0").select(F.least("name", "parent").alias("src"), F.greatest("name", "parent").alias("dst"))
-        done = open_ if done is None else done.unionByName(open_)
-    return done if done is not None else e.limit(0)
-
-
-def per_component(vertices: DataFrame, edges: DataFrame, solve: Callable[[list[str], list[tuple[str, str]]], list[tuple]], schema: str) -> DataFrame:
+    # Sums over all below a vertex by doubling: sum holds those at less than a power of two below it, up is the vertex that power above it.
+    state = before = cut(tree.join(at, "name", "left").select("name", F.col("parent").alias("up"), F.coalesce("own", F.lit(0).cast("long")).alias("sum")))
+    while not state.filter("up is not null").isEmpty():
+        below = state.filter("up is not null").groupBy(F.col("up").alias("name")).agg(F.bit_xor("sum").alias("more"))
+        higher = state.select(F.col("name").alias("up"), F.col("up").alias("next"))
+        new = cut(state.join(higher, "up", "left").join(below, "name", "left").select("name", F.col("next").alias("up"), F.col("sum").bitwiseXOR(F.coalesce("more", F.lit(0).cast("long"))).alias("sum")))
+        release(before)
+        state = before = new
+    return tree.filter("parent is not null").join(state.filter("sum = 0").select("name"), "name").select(F.least("name", "parent").alias("src"), F.greatest("name", "parent").alias("dst"))
+
+
+def per_component(vertices: DataFrame, edges: DataFrame, solve: Callable[[list[str], list[tuple[str, str]]], list[tuple]], schema: str, labels: DataFrame | None = None) -> DataFrame:
     """solve(names, edges) of each component, one task a component; components above MAX_COMPONENT edges are refused. schema: columns after component."""
-    labels = components(vertices, edges)
+    labels = labels if labels is not None else components(vertices, edges)
     e = both(edges).filter("src < dst").join(labels.select(F.col("name").alias("src"), "component"), "src")
     top = e.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if top and top > MAX_COMPONENT:
@@ -263,8 +268,18 @@ def _paths(names: list[str], pairs: list[tuple[str, str]]) -> list[tuple]:
 
 
 def path_lengths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, size, diameter, mean_path)."""
-    return per_component(vertices, edges, _paths, "size int, diameter int, mean_path double")
+    """(component, size, diameter, mean_path); components above MAX_COMPONENT edges by breadth-first searches from all their vertices over joins, which give the same."""
+    labels = cut(components(vertices, edges))
+    ends = edges.filter("src <> dst").select("src", "dst").join(labels.select(F.col("name").alias("src"), "component"), "src")
+    large = cut(ends.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_COMPONENT).select("component"))
+    if large.isEmpty():
+        return per_component(vertices, edges, _paths, "size int, diameter int, mean_path double", labels)
+    mine = labels.join(large, "component", "left_semi")
+    small = per_component(labels.join(large, "component", "left_anti").select("name"), ends.join(large, "component", "left_anti").select("src", "dst"), _paths, "size int, diameter int, mean_path double")
+    d = bfs(ends.join(large, "component", "left_semi").select("src", "dst"), mine.select(F.col("name").alias("seed"))).join(mine.withColumnRenamed("name", "seed"), "seed")
+    n = F.count_if(F.col("distance") > 0)
+    far = d.groupBy("component").agg(F.countDistinct("seed").cast("int").alias("size"), F.max("distance").cast("int").alias("diameter"), (F.sum("distance") / F.greatest(n, F.lit(1))).alias("mean_path"))
+    return small.unionByName(far)
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:

@@ -28,7 +28,23 @@ UNITS = [
     Rule("kgf", r"(?:kgf/mm2|kg/mm2|кгс/мм2|кГ/мм2|кгс/мм²)", "kgf/mm²"),
     Rule("micron", r"(?:мкм|microns?|µm)(?!\p{L})", "μm"),
     Rule("millimetre", r"(?:мм|millimetres?)(?![\p{L}2²])", "mm"),
+    Rule("gigapascal", r"(?<=[0-9] )ГПа(?!\p{L})", "GPa"),
+    Rule("pascal", r"(?<=[0-9] )Па(?!\p{L})", "Pa"),
+    Rule("kilonewton", r"(?<=[0-9] )кН(?!\p{L})", "kN"),
+    Rule("meganewton", r"(?<=[0-9] )МН(?![\p{L}/])", "MN"),
+    Rule("tonne_force", r"(?<=[0-9] )тс(?!\p{L})", "tf"),
+    Rule("kilojoule", r"(?<=[0-9] )кДж(?!\p{L})", "kJ"),
+    Rule("joule", r"(?<=[0-9] )Дж(?![\p{L}/])", "J"),
+    Rule("nanometre", r"(?<=[0-9] )нм(?![\p{L}2²])", "nm"),
+    Rule("centimetre", r"(?<=[0-9] )см(?![\p{L}2²])", "cm"),
+    Rule("per_second", r"(?<=°C|K) ?/ ?(?:с|сек|sec)(?![\p{L}])", "/s"),
+    Rule("per_minute", r"(?<=°C|K) ?/ ?(?:мин|Min)(?![\p{L}])", "/min"),
+    Rule("mass_percent", r"(?:wt\.? ?%|мас\. ?%|масс\. ?%|Gew\.-%|Masse-%)", "wt.%"),
 ]
+#: Critical points of steel, in either alphabet, with or without marks: Ac3, Ar1.
+CRITICAL = Rule("critical_point", r"(?<![\p{L}])\$?[AА]_?\{?([crсг])_?\{?([1-4])\}*\$?(?![\p{L}0-9])", "A$1$2")
+#: Degrees in the header of a column.
+HEADER_UNIT = Rule("header_unit", r"([,(\[] ?)(?:°\s?[CС]|град\.?|deg\.? ?C?)(?=[)\]]?\s*(?:\||</t[hd]>|&))", "$1°C")
 COMPOSITION = Rule("composition", r"(?<=\p{Lu}\p{Ll}?)[—-](?=\p{Lu}\p{Ll}?(?:[—-]|[^\p{L}0-9-]|$))", "–")
 
 
@@ -116,13 +132,33 @@ def lemmatize(texts: DataFrame, key: str, lexicon: DataFrame, text: str = "text"
     return hit.select(key, F.col("form").alias("word"), like_case(F.col("form"), F.col("lemma")).alias("lemma"), "n")
 
 
+def relemmatize(texts: DataFrame, key: str, lexicon: DataFrame, text: str = "text") -> DataFrame:
+    """(key, text) with each word of the lexicon (word, lemma) replaced by its lemma in the case of the text. Words meet the lexicon by a join; a text is put together from its pieces by place, whatever its words."""
+    pieces = texts.select(key, text).withColumn("_p", F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)))
+    words = pieces.select(key, F.explode(F.array_distinct(F.filter("_p", lambda x: x.rlike(r"^\p{L}")))).alias("form")).distinct().withColumn("word", F.lower("form"))
+    hit = words.join(lexicon.select("word", "lemma").dropDuplicates(["word"]), "word").select(key, "form", like_case(F.col("form"), F.col("lemma")).alias("to"))
+    by = hit.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("form", "to"))).alias("_m"))
+    done = F.array_join(F.transform("_p", lambda x: F.coalesce(F.try_element_at("_m", x), x)), "")
+    return pieces.join(by, key, "left").select(key, F.when(F.col("_m").isNull(), F.col(text)).otherwise(done).alias(text))
+
+
 def unit_share(text: Column) -> list[Column]:
-    """Values with a temperature or stress unit, and how many are in canonical form; sound temperatures lie in -273..1600; years in 1800..2100."""
+    """Values with a temperature or stress unit, and how many are in canonical form."""
     any_ = r"[0-9] ?(?:°|deg|Grad|град|K(?![\p{L}])|MPa|МПа|N/mm|Н/мм|kgf/mm|кгс/мм)"
     good = r"[0-9] (?:°C|N/mm²|kgf/mm²)"
     return [F.regexp_count(text, F.lit(any_)).alias("n_units"), F.regexp_count(text, F.lit(good)).alias("n_canonical")]
 
 
+def value_checks(text: Column, last_year: int = 2100) -> list[Column]:
+    """Temperatures and how many lie in -273..1600 °C; numbers of four digits that stand alone between 1000 and 2999, and how many are years of 1800..last_year."""
+    degrees = F.transform(F.regexp_extract_all(text, F.lit(r"(-?[0-9]+(?:[.,][0-9]+)?) ?°C"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"(?:^|[^0-9.,])([12][0-9]{3})(?:[^0-9.,]|$)"), F.lit(1)), lambda x: x.cast("int"))
+    return [
+        F.size(degrees).alias("n_temperatures"), F.size(F.filter(degrees, lambda x: (x >= -273) & (x <= 1600))).alias("n_sound_temperatures"),
+        F.size(years).alias("n_years"), F.size(F.filter(years, lambda x: (x >= 1800) & (x <= last_year))).alias("n_sound_years"),
+    ]
+
+
 def in_every_group(texts: DataFrame, group: str, words: DataFrame, text: str = "text") -> DataFrame:
     """(word): words (column word, lower case) that stand in the texts of every group: relational division."""
     groups = texts.select(group).distinct().count()

@@ -5,6 +5,10 @@ Defined results: patterns that are null or no valid regular expression match not
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ def all_evidence(questions: DataFrame, units: DataFrame, match_book: bool = True
     holds = F.forall(low(F.col("evidence")), lambda e: F.contains(F.col("low"), e))
     if match_book:
         # A book may hold a third of all rows: questions are copied over salts of the units.
-        salts = 8
+        salts = max(8, questions.sparkSession.sparkContext.defaultParallelism)
         qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
         us = u.withColumn("salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
         return qs.join(us, (qs.book == us.unit_book) & (qs.salt == us.salt)).filter(holds).select("question_id", "unit_id").distinct()
@@ -152,6 +156,22 @@ def parse_tuples(texts: DataFrame, key: str, text: str = "text", field: str = "<
     return parts.select(key, f(0).alias("kind"), f(1).alias("a"), f(2).alias("b"), f(3).alias("c"), F.expr("try_cast(trim(get(f, 4)) as double)").alias("weight")).filter(F.col("kind").isin("entity", "relationship"))
 
 
+def first_object(text: str | None) -> str | None:
+    """The first JSON object of a text, whatever stands before and after it; null where there is none."""
+    at = (text or "").find("{")
+    while at >= 0:
+        try:
+            return json.dumps(json.JSONDecoder().raw_decode(text, at)[0], ensure_ascii=False)
+        except ValueError:
+            at = text.find("{", at + 1)
+    return None
+
+
 def parse_json(texts: DataFrame, key: str, schema: str, text: str = "text") -> DataFrame:
     """(key, parsed): the first JSON object of an answer with fences or a preamble; null where there is none."""
-    return texts.select(key, F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), schema).alias("parsed"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "_json": pd.Series([first_object(t) for t in b[text]], dtype=object)})
+
+    return texts.select(key, text).mapInPandas(run, f"{key} {dict(texts.dtypes)[key]}, _json string").select(key, F.from_json("_json", schema).alias("parsed"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.session import cut, fine
+from kiln.session import clustered, cut, fine, groups
 
 #: Characters of a book that one task decodes, and over which the level is one.
 STRETCH = 200_000
@@ -113,6 +113,7 @@ _CUE_RE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 _NAME_RE = {k: re.compile(v, re.I) for k, v in _NAMES.items()}
 _LEAD = re.compile(r"(?:\b(?:at|to|of|reached|was|measured|absorbed|is|from|rate|and|then|при|составил[аои]?|равн[аоы]|равен|достигло|усилие|на|поглотил[аи]?|скорость|скоростью|до|от|и|затем|bei|auf|mit|von|betrug|nahm|war|bis|dann|und)\s+|[–—−]\s?)$", re.I)
 _UNIT_WORD = re.compile(rf"(?<![\w])(?:{_UNIT}|(?P<ux>inch(?:es)?|дюйм\w*|тоннах-силах|градусах))(?![\w])")
+_DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZА-ЯЁÄÖÜ<\\*|])|\n\s*\n")
 _INVISIBLE = re.compile("[​-‏⁠-⁤﻿­͏]")
 _BREAK = re.compile(r"(?<=[a-zäöüßа-яё])[-¬]\s*\n\s*(?=[a-zäöüßа-яё])")
@@ -175,6 +176,8 @@ def observations(text: str | None, lang: str | None) -> list[tuple[int, str, str
                 if u and _NAME_RE[u[0]].search(s) and len(m[0]) > (1 if u[0] != "temperature" else 0):
                     announced[u[0]] = u[1]
     for start, s in sentences:
+        if not _DIGIT.search(s):
+            continue
         taken: list[tuple[int, int]] = []
         for m in _VALUE.finditer(s):
             u = _unit_of(m)
@@ -206,22 +209,22 @@ PULL = 8.0
 #: Least spread of the log values about their level.
 LEAST_SPREAD = 0.1
 _SWITCH = -math.log(SWITCH / (1 - SWITCH))
-_DTYPE = "chunk_id string, book string, start_pos long, off int, quantity string, series string, number double, stated string, announced string, logc double"
-_KEYS = ["device", "series", "stretch"]
+_DTYPE = "chunk_id string, book string, start_pos long, off int, quantity string, series string, number double, stated int, announced int, logc double"
+_KEYS = ("device", "series", "stretch")
+_NAME = {q: list(u) for q, u in UNITS.items()}
+_CODE = {(q, None): -1 for q in UNITS} | {(q, u): i for q, us in UNITS.items() for i, u in enumerate(us)}
 
 
-def costs(quantity: str, values: np.ndarray, stated: list, announced: list, level: np.ndarray, spread: float) -> np.ndarray:
-    """Negative log-probability of each observation under each unit, up to a constant."""
-    units = list(UNITS[quantity])
-    scale, offset = np.array([UNITS[quantity][u] for u in units]).T
-    z = (np.log(np.maximum(values[:, None] * scale + offset, 1e-9)) - level[:, None]) / spread
+def costs(quantity: str, values: np.ndarray, stated: np.ndarray, announced: np.ndarray, level: float, spread: float) -> np.ndarray:
+    """Negative log-probability of each observation under each unit, up to a constant. stated, announced: places of units in UNITS, -1 for none."""
+    scale, offset = np.array(list(UNITS[quantity].values())).T
+    z = (np.log(np.maximum(values[:, None] * scale + offset, 1e-9)) - level) / spread
     out = -np.log((1 - STRAY) * np.exp(-0.5 * np.minimum(np.abs(z), 30) ** 2) + STRAY)
-    at = {u: i for i, u in enumerate(units)}
-    for given, p in ((stated, MISPRINT), (announced, SLIP)):
-        k = np.array([at[x] if x is not None and (given is stated or y is None) else -1 for x, y in zip(given, stated)], int)
+    for k, p in ((stated, MISPRINT), (np.where(stated < 0, announced, -1), SLIP)):
         rows = np.flatnonzero(k >= 0)
-        out[rows] += -math.log(p / (len(units) - 1))
-        out[rows, k[rows]] += math.log(p / (len(units) - 1)) - math.log(1 - p)
+        other = -math.log(p / (len(scale) - 1))
+        out[rows] += other
+        out[rows, k[rows]] -= other + math.log(1 - p)
     return out
 
 
@@ -281,7 +284,7 @@ def observe(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(c, k, p, *o, log(o[1], o[3], o[4] or o[5])) for c, k, p, g, t in zip(b.chunk_id, b.book, b.start_pos, b.lang, b.text) for o in observations(t, g)]
+            rows = [(c, k, p, *o[:4], _CODE[o[1], o[4]], _CODE[o[1], o[5]], log(o[1], o[3], o[4] or o[5])) for c, k, p, g, t in zip(b.chunk_id, b.book, b.start_pos, b.lang, b.text) for o in observations(t, g)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _DTYPE.split(", ")])
 
     cols = chunks.select("chunk_id", "book", F.col("start_pos").cast("long").alias("start_pos"), "lang", "text").filter(F.col("text").rlike(r"\d"))
@@ -302,13 +305,13 @@ def levels(seen: DataFrame) -> DataFrame:
     return rows.select(*_KEYS, ((F.col("s") + PULL * own) / (F.col("n") + PULL)).alias("level"), "spread", "stretches")
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["start_pos", "chunk_id", "off", "number"], kind="stable")
-
-
-def _local(pdf: pd.DataFrame) -> np.ndarray:
-    null = lambda s: [None if pd.isna(x) else x for x in s]
-    return costs(pdf.quantity.iloc[0], pdf.number.to_numpy(), null(pdf.stated), null(pdf.announced), pdf.level.to_numpy(), float(pdf.spread.iloc[0]))
+def _stretches(b: pd.DataFrame, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first and end of the observations of a stretch in b, their costs) of each group with bounds at; the first row of a group is that of its level."""
+    number, stated, announced, quantity = (b[c].to_numpy() for c in ("number", "stated", "announced", "quantity"))
+    for i, j in zip(at, at[1:]):
+        if j > i + 1:
+            part = slice(i + 1, j)
+            yield i + 1, j, costs(quantity[i + 1], number[part], stated[part].astype(int), announced[part].astype(int), float(b.level.iloc[i]), float(b.spread.iloc[i]))
 
 
 def normalize(chunks: DataFrame) -> DataFrame:
@@ -317,32 +320,47 @@ def normalize(chunks: DataFrame) -> DataFrame:
     stretch = F.coalesce(F.floor(F.col("start_pos") / STRETCH), -1 - F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40)))
     seen = cut(observe(chunks).withColumn("stretch", stretch).withColumn("device", F.coalesce(F.concat(F.lit("="), "book"), F.lit(""))))
     level = cut(levels(seen))
-    rows = fine(seen, by=tuple(_KEYS)).join(level, _KEYS)
+    order = ("start_pos", "chunk_id", "off", "number")
+
+    def headed(heads: DataFrame, rows: DataFrame) -> DataFrame:
+        """Observations with the row of their stretch before them: one shuffle, no join. Nulls come first."""
+        return clustered(rows.unionByName(heads, allowMissingColumns=True), _KEYS, ("head", *order))
 
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"device": pdf.device.iloc[:1], "series": pdf.series.iloc[:1], "stretch": pdf.stretch.iloc[:1], "costs": [summed(_local(_ordered(pdf))).ravel()]})
+    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, at in groups(batches, _KEYS):
+            yield pd.DataFrame([(b.device.iloc[i], b.series.iloc[i], b.stretch.iloc[i], summed(local).ravel()) for i, _, local in _stretches(b, at)], columns=[*_KEYS, "costs"])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("stretch")
         side = math.isqrt(len(pdf.costs.iloc[0]))
         path = chained([np.asarray(c).reshape(side, side) for c in pdf.costs])
-        return pdf[_KEYS].assign(first=pd.array([x for x, _ in path], "Int32"), last=[y for _, y in path])
+        return pdf[[*_KEYS]].assign(first=[-1 if x is None else x for x, _ in path], last=[y for _, y in path])
 
     # Books of one stretch need no chain; a stretch of a chunk without a position follows nothing.
-    long = rows.filter("stretches > 1 and stretch >= 0").groupBy(*_KEYS).applyInPandas(summary, "device string, series string, stretch long, costs array<double>")
+    rows = seen.withColumn("head", F.lit(1))
+    several = level.filter("stretches > 1 and stretch >= 0").withColumn("head", F.lit(0))
+    long = headed(several, rows.join(several.select(*_KEYS), [*_KEYS], "left_semi")).mapInPandas(summary, "device string, series string, stretch long, costs array<double>")
     ends = long.groupBy("device", "series").applyInPandas(chain, "device string, series string, stretch long, first int, last int")
-    rows = rows.join(ends, _KEYS, "left")
-
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        q, end = pdf.quantity.iloc[0], [None if pd.isna(x) else int(x) for x in (pdf["first"].iloc[0], pdf["last"].iloc[0])]
-        names, k = list(UNITS[q]), np.array(list(UNITS[q].values()))
-        path = viterbi(_local(pdf), *end)
-        written = pdf.stated.where(pdf.stated.notna(), pdf.announced)
-        evidence = np.where(pdf.stated.notna(), "stated", np.where(pdf.announced.notna(), "announced", "level"))
-        return pd.DataFrame({"chunk_id": pdf.chunk_id, "book": pdf.book, "quantity": q, "number": pdf.number, "written": written, "unit": [names[i] for i in path], "evidence": evidence, "common_value": pdf.number.to_numpy() * k[path, 0] + k[path, 1]})
-
-    return rows.groupBy(*_KEYS).applyInPandas(decode, "chunk_id string, book string, quantity string, number double, written string, unit string, evidence string, common_value double")
+    heads = level.withColumn("head", F.lit(0)).join(ends, [*_KEYS], "left")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, at in groups(batches, _KEYS):
+            path, mine = np.zeros(len(b), int), np.zeros(len(b), bool)
+            for i, j, local in _stretches(b, at):
+                first, last = b["first"].iloc[i - 1], b["last"].iloc[i - 1]
+                path[i:j] = viterbi(local, *[None if pd.isna(x) or x < 0 else int(x) for x in (first, last)])
+                mine[i:j] = True
+            b, path = b[mine], path[mine]
+            stated, announced = b.stated.to_numpy().astype(int), b.announced.to_numpy().astype(int)
+            written = np.where(stated >= 0, stated, announced)
+            quantity, number = b.quantity.to_numpy(), b.number.to_numpy()
+            k = np.array([UNITS[q][_NAME[q][i]] for q, i in zip(quantity, path)]).reshape(-1, 2)
+            yield pd.DataFrame({
+                "chunk_id": b.chunk_id, "book": b.book, "quantity": quantity, "number": number, "written": [_NAME[q][i] if i >= 0 else None for q, i in zip(quantity, written)],
+                "unit": [_NAME[q][i] for q, i in zip(quantity, path)], "evidence": np.where(stated >= 0, "stated", np.where(announced >= 0, "announced", "level")), "common_value": number * k[:, 0] + k[:, 1],
+            })
+
+    return headed(heads, rows).mapInPandas(decode, "chunk_id string, book string, quantity string, number double, written string, unit string, evidence string, common_value double")
 
 
 def found(chunks: DataFrame) -> DataFrame:

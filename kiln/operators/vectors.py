@@ -53,7 +53,10 @@ def scored(queries: DataFrame, corpus: DataFrame, key: str, vector: str, keep, c
     rows = queries.select(key, vector).filter(F.col(vector).isNotNull()).orderBy(key)
 
     def block(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        held = corpus.sparkSession.sparkContext.broadcast((ids, q))
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q = held.value
             for b in batches:
                 if len(b):
                     m = np.stack(b[vector].to_numpy()).astype(np.float64)
@@ -87,11 +90,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vec
     def keep(ids: np.ndarray, s: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
         if others:
             s = np.where(ids[:, None] == keys[None, :], -np.inf, s)
-        top = np.argsort(np.round(-s, 9), axis=1, kind="stable")[:, : k + 4]
-        q = np.repeat(np.arange(len(ids)), top.shape[1])
-        v = s[q, top.ravel()]
-        ok = np.isfinite(v)
-        return pd.DataFrame({"query_id": ids[q][ok], key: keys[top.ravel()][ok], "score": v[ok]})
+        # All rows that share the k-th score stay, so that the order by id decides among them over all batches.
+        s = np.round(s, 6)
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        i, j = np.nonzero((s >= least[:, None]) & np.isfinite(s))
+        return pd.DataFrame({"query_id": ids[i], key: keys[j], "score": s[i, j]})
 
     kind = dict(corpus.dtypes)[key]
     found = scored(queries, corpus, key, vector, keep, f"query_id {kind}, {key} {kind}, score double")

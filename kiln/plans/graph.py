@@ -68,8 +68,10 @@ SELECT (SELECT count(*) FROM {N}) AS v, m AS e, (SELECT count(DISTINCT component
 """)
 def cyclomatic(t: Tables) -> DataFrame:
     n, e = names(t), edges(t)
-    c = G.components(n, e).agg(F.count("*").alias("v"), F.countDistinct("component").alias("c"))
-    return G.both(e).filter("src < dst").agg(F.count("*").alias("e")).withColumn("k", F.lit(1)).join(F.broadcast(c.withColumn("k", F.lit(1))), "k").select("v", "e", "c", (F.col("e") - F.col("v") + F.col("c")).alias("cyclomatic"))
+    c = G.components(n, e).groupBy("component").agg(F.count("*").alias("v"), F.lit(0).alias("e"), F.lit(1).alias("c"))
+    m = G.both(e).filter("src < dst").select(F.lit(0).alias("v"), F.lit(1).alias("e"), F.lit(0).alias("c"))
+    s = c.select("v", "e", "c").unionByName(m).agg(*[F.sum(x).alias(x) for x in ("v", "e", "c")])
+    return s.select("v", "e", "c", (F.col("e") - F.col("v") + F.col("c")).alias("cyclomatic"))
 
 
 @query(f"""
@@ -110,13 +112,11 @@ def bfs_depth_counts(t: Tables) -> DataFrame:
     return G.bfs(edges(t), seeds(t), 3).groupBy("seed", "distance").agg(F.count("*").alias("n"))
 
 
-@query(f"""
-WITH RECURSIVE {BFS}, p AS (SELECT DISTINCT a.name AS a, b.src AS b FROM {N} a JOIN {E} b ON b.dst > 'S' WHERE a.name IN {SEEDS})
-SELECT p.a, p.b, m.distance::INT AS distance FROM p LEFT JOIN m ON m.seed = p.a AND m.name = p.b
-""")
+@query(f"WITH RECURSIVE {BFS} SELECT a.name AS a, b.name AS b, m.distance::INT AS distance FROM {N} a JOIN {N} b ON a.name IN {SEEDS} LEFT JOIN m ON m.seed = a.name AND m.name = b.name")
 def shortest_path_len(t: Tables) -> DataFrame:
-    ends = edges(t).filter("dst > 'S'").select(F.col("src").alias("b"), F.lit(1).alias("k"))
-    return G.shortest(edges(t), seeds(t).select(F.col("seed").alias("a"), F.lit(1).alias("k")).join(ends, "k").select("a", "b"), 3)
+    """Three names with every name; null where they are more than 3 edges apart."""
+    asked = names(t).select(F.explode(F.array(*[F.lit(x.strip(" '")) for x in SEEDS.strip("()").split(",")])).alias("a"), F.col("name").alias("b"))
+    return G.shortest(edges(t), asked.join(seeds(t).select(F.col("seed").alias("a")), "a", "left_semi"), 3)
 
 
 @query()
@@ -162,9 +162,10 @@ SELECT (SELECT count(*) FROM s) AS n_members, count(*) FILTER (a AND b) AS inter
 def subgraph_boundary(t: Tables) -> DataFrame:
     s = vertices(t).groupBy("name").agg(F.min("type").alias("type")).filter("type = 'phase'").select("name")
     x = edges(t).filter("src <> dst").join(s.select(F.col("name").alias("src"), F.lit(1).alias("a")), "src", "left").join(s.select(F.col("name").alias("dst"), F.lit(1).alias("b")), "dst", "left")
-    inner = x.agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("internal"), F.count_if(F.col("a").isNotNull() != F.col("b").isNotNull()).alias("boundary")).withColumn("k", F.lit(1))
-    members = G.degrees(s, edges(t)).agg(F.count("*").alias("n_members"), F.count_if(F.col("degree") == 0).alias("isolated")).withColumn("k", F.lit(1))
-    return members.join(inner, "k").select("n_members", "internal", "boundary", "isolated")
+    zero, one = F.lit(0), F.lit(1)
+    inner = x.select(zero.alias("n_members"), (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int").alias("internal"), (F.col("a").isNotNull() != F.col("b").isNotNull()).cast("int").alias("boundary"), zero.alias("isolated"))
+    members = G.degrees(s, edges(t)).select(one.alias("n_members"), zero.alias("internal"), zero.alias("boundary"), (F.col("degree") == 0).cast("int").alias("isolated"))
+    return members.unionByName(inner).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_members", "internal", "boundary", "isolated")])
 
 
 @query(f"WITH d AS (SELECT src AS name, count(*) AS degree FROM {P} GROUP BY 1) SELECT name, degree FROM d ORDER BY degree DESC, name LIMIT 10")

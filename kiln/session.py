@@ -6,7 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -103,3 +106,40 @@ def fine(df: DataFrame, factor: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
     n = df.sparkSession.sparkContext.defaultParallelism * factor
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(n, *by) if size < n * SPREAD else df
+
+
+def clustered(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
+    """df with all rows of equal keys in one task, beside each other and in order, for mapInPandas with groups(). The last step before it, as adaptive joins may split the keys again."""
+    spread = fine(df, by=by)
+    return (df.repartition(*by) if spread is df else spread).sortWithinPartitions(*by, *order)
+
+
+def groups(batches: Iterator[pd.DataFrame], by: tuple[str, ...]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole groups of clustered() rows with the bounds of the groups in them; a group that goes on in the next batch waits for it."""
+    waiting: list[pd.DataFrame] = []
+
+    def bounds(b: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(b), bool)
+        new[:1] = True
+        for c in by:
+            v = b[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for b in batches:
+        if not len(b):
+            continue
+        at = bounds(b)
+        if waiting and any(waiting[-1][c].iloc[-1] != b[c].iloc[0] for c in by):
+            whole = pd.concat(waiting, ignore_index=True)
+            yield whole, np.append(bounds(whole), len(whole))
+            waiting = []
+        if len(at) == 1:
+            waiting.append(b)
+            continue
+        whole = pd.concat([*waiting, b.iloc[: at[-1]]], ignore_index=True)
+        yield whole, np.append(bounds(whole), len(whole))
+        waiting = [b.iloc[at[-1] :]]
+    if waiting:
+        whole = pd.concat(waiting, ignore_index=True)
+        yield whole, np.append(bounds(whole), len(whole))

@@ -47,7 +47,8 @@ def test_number_forms():
 
 
 def decoded(quantity, values, stated, announced, level, spread=0.1):
-    local = U.costs(quantity, np.array(values, float), stated, announced, np.full(len(values), np.log(level)), spread)
+    codes = lambda xs: np.array([U._CODE[quantity, x] for x in xs])
+    local = U.costs(quantity, np.array(values, float), codes(stated), codes(announced), np.log(level), spread)
     return [list(U.UNITS[quantity])[i] for i in U.viterbi(local)]
 
 
