@@ -6,29 +6,36 @@ patterns and direct comparison confirms. Cursors over all stretches of a batch o
 places on one diagonal form runs, runs are lengthened character by character, and the words of an item that lie in runs are
 counted: runs of RUN words, and runs of NEAR words within GAP words of such a run.
 
-Items are taken in blocks of at most BLOCK_CHARS characters, each block searched in all documents; within a block the tables are
-bounded. Defined results: null and empty texts hold nothing; an item below NEAR words is never found; repeated documents each
-count; repeated rows once.
+Items lie in blocks of some BLOCK_CHARS characters by hash. The tables of a block are built on an executor, written, and broadcast one block after another;
+with more than one block the documents are folded once and written, so that a block costs a scan of folded text only. Defined results: null and empty
+texts hold nothing; an item of fewer than RUN words counts by runs as long as itself; an item whose folded text is shorter than M characters
+has no pattern and is never found; repeated documents each count; repeated rows once.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.skeleton import fold, plain
-from kiln.session import fine
+from kiln.session import cut, fine
 
 M, B, TABLE = 16, 4, 1 << 20
 RUN, NEAR, GAP = 6, 4, 3
 #: Share of an item's words that makes a leak.
 SHARE = 0.5
+#: Least share that overlaps() gives.
+LEAST = 0.2
 BLOCK_CHARS = 4_000_000
+#: Places that are compared with patterns at once.
+SLICE = 1 << 18
 #: Characters that one cursor passes.
 STRETCH = 512
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -108,11 +115,21 @@ class Patterns:
         w = _windows(c, ends)
         h = _hash(w)
         lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        n = hi - lo
-        which = np.repeat(np.arange(len(ends)), n)
-        pattern = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        same = (w[which] == self.w[pattern]).all(1) if len(which) else np.zeros(0, bool)
-        return ends[which][same] - (M - 1), pattern[same]
+        met = np.flatnonzero(hi > lo)
+        places, patterns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at = 0
+        # A phrase that many items share is a long bucket: places and patterns are compared slice by slice, so that memory is bounded.
+        while at < len(met):
+            n = (hi - lo)[met[at:]]
+            take = max(1, int(np.searchsorted(n.cumsum(), SLICE, "right")))
+            part, n = met[at : at + take], n[:take]
+            which = np.repeat(part, n)
+            pattern = np.repeat(lo[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            same = (w[which] == self.w[pattern]).all(1)
+            places.append(ends[which[same]] - (M - 1))
+            patterns.append(pattern[same])
+            at += take
+        return np.concatenate(places), np.concatenate(patterns)
 
     def coverage(self, k: int, hits: list[tuple[int, int]], c: np.ndarray) -> float:
         """Share of the words of item k that lie in runs of a document c; hits: (place, word)."""
@@ -132,13 +149,14 @@ class Patterns:
                 diff = np.flatnonzero(chars[b : b + n] != c[b + d : b + d + n]) if n > 0 else []
                 end = b + (int(diff[0]) if len(diff) else max(n, 0))
                 first, last = int(np.searchsorted(starts, a)), int(np.searchsorted(starts, end, "right")) - 1
-                if last - first >= NEAR:
+                if last - first >= min(NEAR, len(starts) - 1):
                     runs.append((first, last, a + d))
                 if o is not None:
                     a, b = o, o + M
         size = len(starts) - 1
-        counted = [r for r in runs if r[1] - r[0] >= RUN]
-        rest = [r for r in runs if r[1] - r[0] < RUN]
+        enough = min(RUN, size)
+        counted = [r for r in runs if r[1] - r[0] >= enough]
+        rest = [r for r in runs if r[1] - r[0] < enough]
         slack = GAP * 12
         for r in rest:
             place = r[2] + int(starts[r[1]] - starts[r[0]])
@@ -154,13 +172,22 @@ class Patterns:
         return float(words.sum()) / max(size, 1)
 
 
-def _block_leaks(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    patterns = Patterns(items)
+def _folded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with each text as the search sees it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [_codes(fold(plain(t))) if t else np.zeros(0, np.uint32) for t in b.text]
-            gap = np.zeros(1, np.uint32)
+            yield pd.DataFrame({"doc_id": b.doc_id, "text": [fold(plain(t)) if t else "" for t in b.text]})
+
+    return fine(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, text string")
+
+
+def _block_leaks(folded: DataFrame, held: Broadcast) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns: Patterns = held.value
+        gap = np.zeros(1, np.uint32)
+        for b in batches:
+            texts = [_codes(t) for t in b.text]
             joined = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
             first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             place, pattern = patterns.search(joined)
@@ -168,28 +195,41 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             doc = np.searchsorted(first, place, "right") - 1
             for d, p, k, j in zip(doc.tolist(), (place - first[doc]).tolist(), patterns.owner[pattern].tolist(), patterns.word[pattern].tolist()):
                 by[d, k].append((p, j))
-            out = []
-            for (d, k), hits in by.items():
-                # A run of w words holds w - 3 windows or so; fewer places than this cannot cover SHARE of the item.
-                if len({j for _, j in hits}) >= 0.1 * (len(patterns.starts[k]) - 1) and (share := patterns.coverage(k, hits, texts[d])) >= 0.2:
-                    out.append((b.doc_id.iloc[d], patterns.ids[k], share))
+            out = [(b.doc_id.iloc[d], patterns.ids[k], share) for (d, k), hits in by.items() if (share := patterns.coverage(k, hits, texts[d])) >= LEAST]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
 
-    return fine(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, item_id long, share double")
+    return folded.mapInPandas(run, "doc_id long, item_id long, share double")
+
+
+def blocks(items: DataFrame) -> DataFrame:
+    """(block, tables): the pickled search tables of each block of items."""
+    rows = items.select("item_id", "item_text").filter("item_text is not null").distinct()
+    n = int((rows.agg(F.sum(F.length("item_text"))).first()[0] or 0) // BLOCK_CHARS) + 1
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["item_id", "item_text"])
+        return pd.DataFrame({"block": pdf.block.iloc[:1], "tables": [pickle.dumps(Patterns(list(zip(pdf.item_id, pdf.item_text))))]})
+
+    return rows.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(n))).groupBy("block").applyInPandas(build, "block long, tables binary")
 
 
 def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, share): documents that hold a fifth of an item's words or more. docs: doc_id, text; items: item_id, item_text."""
-    rows, block, size, out = items.select("item_id", "item_text").filter("item_text is not null").distinct().orderBy("item_id", "item_text"), [], 0, None
-    for r in rows.toLocalIterator():
-        block.append((r.item_id, r.item_text))
-        size += len(r.item_text)
-        if size >= BLOCK_CHARS:
-            found_ = _block_leaks(docs, block)
-            out, block, size = found_ if out is None else out.unionByName(found_), [], 0
-    if block or out is None:
-        found_ = _block_leaks(docs, block)
-        out = found_ if out is None else out.unionByName(found_)
+    """(doc_id, item_id, share): documents that hold LEAST of an item's words or more. docs: doc_id, text; items: item_id, item_text."""
+    spark, tables = docs.sparkSession, cut(blocks(items))
+    numbers = sorted(r.block for r in tables.select("block").collect())
+    folded, out = _folded(docs), None
+    if len(numbers) > 1:
+        folded = cut(folded)
+    for k in numbers:
+        held = spark.sparkContext.broadcast(pickle.loads(tables.filter(F.col("block") == k).first().tables))
+        part = _block_leaks(folded, held)
+        # With several blocks each is searched before the next is held.
+        if len(numbers) > 1:
+            part = cut(part)
+            held.destroy()
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "doc_id long, item_id long, share double")
     return out.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 

@@ -76,7 +76,7 @@ def _count(run: Column, cls: str) -> Column:
 def _fixes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts with rid, a digest of the row; rid, variant and the fixed runs by place of each text that changes). Only touched runs are shuffled, no whole text."""
     spark = texts.sparkSession
-    rows = texts.select("record_kind", "record_key", "text").withColumn("rid", F.xxhash64("record_kind", "record_key", "text"))
+    rows = texts.select("record_kind", "record_key", "text").withColumn("rid", F.md5(F.concat_ws("\u0001", "record_kind", F.coalesce("record_key", F.lit("\u0000")), "text")))
     touched = F.col("text").rlike(f"{_SPECIAL}|{_MIXED}") | F.col("text").rlike(rf"(?<={_LAT} ){_CYR}+(?= {_LAT})|(?<={_CYR} ){_LAT}+(?= {_CYR})")
     work = rows.filter(touched).withColumn("runs", F.regexp_extract_all("text", F.lit(f"({RUNS})"), 0))
     runs = work.select("rid", F.posexplode("runs").alias("at", "run"), "runs").withColumn("before", F.get("runs", F.col("at") - 2)).withColumn("after", F.get("runs", F.col("at") + 2))

@@ -2,7 +2,8 @@
 
 A block becomes a tree of nodes (HTML, Markdown, wiki and LaTeX constructs). Boosted trees over node features (subtree density,
 attribute tokens, depth, sibling statistics) give each node a distribution over kinds; a bottom-up pass takes the kinds
-of ancestors and descendants that are most probable together and do not contradict each other.
+of ancestors and descendants that are most probable together and do not contradict each other, where the nodes below a parent weigh as one.
+Parsing, features and rendering walk the tree with stacks of their own, so that constructs may lie within each other at any depth.
 The trees are fitted on constructs that are written here around a bounded sample of markup-free blocks (SAMPLE rows).
 
 Defined results: null and empty texts have no markup; unclosed constructs count as markup of what they hold; a block's repeated rows count once.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,7 +49,7 @@ _PATTERNS: list[tuple[str, str, str]] = [
     ("latex", "code_env", r"\\begin\{(?P<a2>verbatim|lstlisting|minted|Verbatim)\*?\}(?P<c2>[\s\S]*?)(?:\\end\{(?P=a2)\*?\}|\Z)"),
     ("latex", "env", r"\\begin\{(?P<a3>[a-zA-Z]+)\*?\}(?P<c3>[\s\S]*?)(?:\\end\{(?P=a3)\*?\}|\Z)"),
     ("latex", "display", r"\\\[(?P<c4>[\s\S]*?)\\\]|\$\$(?P<c5>[\s\S]+?)\$\$"),
-    ("latex", "math", r"\\\((?P<c6>[\s\S]*?)\\\)|(?<![\w\\$])\$(?P<c7>(?=[^$\n]*[\\^_={}])[^$\n]{1,300}?)\$(?![\w])|(?<=\w)\$(?P<c28>\^[^$\n]{1,60}?)\$"),
+    ("latex", "math", r"\\\((?P<c6>[\s\S]*?)\\\)|(?<![\w\\$])\$(?P<c7>(?=[^$\n]*[\\^_={}])[^$\n]+?)\$(?![\w])|(?<=\w)\$(?P<c28>\^[^$\n]+?)\$"),
     ("md", "fence", r"^(?P<a8>```+|~~~+)[ \t]*(?P<b8>[\w+-]*)[ \t]*\n(?P<c8>[\s\S]*?)(?:\n?^(?P=a8)[ \t]*$|\Z)"),
     ("wiki", "table", r"\{\|(?P<b9>[^\n|]*)(?P<c9>[\s\S]*?)(?:\|\}|\Z)"),
     ("md", "table", r"^(?P<c10>[ \t]*\|[^\n]*\|[ \t]*\n[ \t]*\|[ \t:|-]*-[ \t:|-]*\|?[ \t]*(?:\n[ \t]*\|[^\n]*)*)"),
@@ -89,58 +91,103 @@ class Node:
     children: list = field(default_factory=list)
     start: int = 0
     end: int = 0
+    #: What is left of the inside without the marks of the nodes in it, and what a reader sees of the node.
+    bare: str = ""
+    seen: str = ""
 
     @property
     def key(self) -> str:
         return f"{self.fmt}:{self.tag}"
 
 
-def parse(text: str, depth: int = 0) -> list[Node]:
-    """The constructs of a text in order, each with its parsed inside."""
-    out, at = [], 0
-    while m := _MASTER.search(text, at):
-        start, end = m.span()
-        if m["tag"]:
-            name, raw = m["name"].lower(), ""
-            if name not in TAGS:
-                at = start + 1
-                continue
-            close = None
-            if not m["close"] and name not in ("br", "hr", "img", "meta", "link") and not m["tag"].endswith("/>"):
-                close = (_balanced(text, end, name) if name not in _RAW else None) or re.compile(rf"</{name}\s*>", re.I).search(text, end)
-            if close:
-                raw, end = text[end : close.start()], close.end()
-            node = Node("html", name, m["attrs"], text[start:end], raw, [], start, end)
-            if depth < 8 and raw and name not in _RAW:
-                node.children = parse(raw, depth + 1)
-            elif name == "pre" and (inner := re.fullmatch(r"\s*<code[^>]*>([\s\S]*?)(?:</code>)?\s*", raw)):
-                node.children, node.inner = [Node("html", "code", "", raw, inner[1], [], 0, len(raw))], inner[1]
-            out.append(node)
-        else:
-            i = next(i for i in range(len(_PATTERNS)) if m[f"m{i}"] is not None)
-            fmt, tag, _ = _PATTERNS[i]
-            raw = next((m[g] for g in _INNER[i] if m[g] is not None), "")
-            node = Node(fmt, tag, " ".join(m[g] for g in _ATTRS[i] if m[g]), m[0], raw, [], start, end)
-            if tag == "env":
-                node.tag = "list_env" if node.attrs in ("itemize", "enumerate", "description") else "table_env" if node.attrs.startswith(("tab", "long")) else "image_env" if node.attrs == "figure" else "env"
-            if depth < 8 and raw and tag not in ("math_env", "code_env", "display", "math", "fence", "code", "comment", "image", "entity", "template"):
-                node.children = [] if raw == text else parse(raw, depth + 1)
-            out.append(node)
-        at = max(end, start + 1)
+_HTML = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s[^<>]*)?)(/?)>")
+_EMPTY = {"br", "hr", "img", "meta", "link"}
+#: Constructs whose inside is no markup.
+_CLOSED = {"math_env", "code_env", "display", "math", "fence", "code", "comment", "image", "entity", "template"}
+
+
+def closers(text: str) -> dict[int, tuple[int, int]]:
+    """Start of each opening tag -> span of the tag that closes it, in one pass: the balanced one, else the next of its name, for tags of raw text always the next."""
+    out: dict[int, tuple[int, int]] = {}
+    open_: dict[str, list[int]] = {}
+    ends: dict[str, list[tuple[int, int]]] = {}
+    for m in _HTML.finditer(text):
+        name = m[2].lower()
+        if name not in TAGS:
+            continue
+        if m[1]:
+            ends.setdefault(name, []).append(m.span())
+            stack = open_.get(name)
+            if name in _RAW:
+                for at in stack or ():
+                    out[at] = m.span()
+                open_[name] = []
+            elif stack:
+                out[stack.pop()] = m.span()
+        elif name not in _EMPTY and not m[0].endswith("/>"):
+            open_.setdefault(name, []).append(m.start())
+    for name, stack in open_.items():
+        spans = ends.get(name, [])
+        for at in stack:
+            i = bisect_left(spans, (at, at))
+            if i < len(spans):
+                out[at] = spans[i]
     return out
 
 
-def _balanced(text: str, at: int, name: str):
-    depth = 1
-    for m in re.compile(rf"<(/?){name}\b[^<>]*>", re.I).finditer(text, at):
-        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
-        if not depth:
-            return m
-    return None
+def parse(text: str) -> list[Node]:
+    """The constructs of a text in order, each with its parsed inside."""
+    root = Node("", "", inner=text)
+    # Each entry: a node to parse the inside of, that inside, and where it starts in the text.
+    work, closing = [(root, text, 0)], closers(text) if "<" in text else {}
+    while work:
+        parent, inside, base = work.pop()
+        at = 0
+        while m := _MASTER.search(inside, at):
+            start, end = m.span()
+            if m["tag"]:
+                name, raw, where = m["name"].lower(), "", 0
+                if name not in TAGS:
+                    at = start + 1
+                    continue
+                close = closing.get(base + start)
+                if close and close[1] <= base + len(inside):
+                    raw, where, end = inside[end : close[0] - base], base + end, close[1] - base
+                node = Node("html", name, m["attrs"], inside[start:end], raw, [], start, end)
+                if raw and name not in _RAW:
+                    work.append((node, raw, where))
+                elif name == "pre" and (inner := re.fullmatch(r"\s*<code[^>]*>([\s\S]*?)(?:</code>)?\s*", raw)):
+                    node.children, node.inner = [Node("html", "code", "", raw, inner[1], [], 0, len(raw))], inner[1]
+            else:
+                i = next(i for i in range(len(_PATTERNS)) if m[f"m{i}"] is not None)
+                fmt, tag, _ = _PATTERNS[i]
+                group = next((g for g in _INNER[i] if m[g] is not None), None)
+                raw = m[group] if group else ""
+                node = Node(fmt, tag, " ".join(m[g] for g in _ATTRS[i] if m[g]), m[0], raw, [], start, end)
+                if tag == "env":
+                    node.tag = "list_env" if node.attrs in ("itemize", "enumerate", "description") else "table_env" if node.attrs.startswith(("tab", "long")) else "image_env" if node.attrs == "figure" else "env"
+                if raw and tag not in _CLOSED and raw != inside:
+                    work.append((node, raw, base + m.start(group)))
+            parent.children.append(node)
+            at = max(end, start + 1)
+    for n in reversed(preorder(root)):
+        n.bare = strip(n.inner, n.children)
+        n.seen = visible(n)
+    return root.children
+
+
+def preorder(root: Node) -> list[Node]:
+    """A node and all below it, parents first, children in order."""
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        stack += reversed(n.children)
+    return out
 
 
 def visible(node: Node) -> str:
-    """What a reader sees of a node, without its marks."""
+    """What a reader sees of a node, without its marks; the nodes below it are done."""
     if node.key in ("html:comment", "html:ref", "wiki:template", "latex:macro", "html:br", "html:hr"):
         return "\n" if node.tag == "br" else ""
     if node.tag == "entity":
@@ -157,13 +204,14 @@ def visible(node: Node) -> str:
         return node.inner.split("|")[-1]
     if node.key == "latex:image":
         return ""
-    return strip(node.inner, node.children)
+    return node.bare
 
 
 def strip(text: str, nodes: list[Node]) -> str:
+    """Text with what a reader sees of the nodes in place of them."""
     out, at = [], 0
     for n in nodes:
-        out += [text[at : n.start], visible(n)]
+        out += [text[at : n.start], n.seen]
         at = n.end
     return "".join([*out, text[at:]])
 
@@ -182,7 +230,7 @@ _INNER_KIND = {
 }
 
 
-def features(text: str, source: str, key: str, attrs: str, nodes: list[Node], depth: int, siblings: list[str]) -> np.ndarray:
+def features(text: str, seen: str, source: str, key: str, attrs: str, nodes: list[Node], depth: int, siblings: int, alike: float) -> np.ndarray:
     """Of one node: own tag, attribute tokens, depth, siblings, subtree density, share of the subtree under each child tag, shape of lines."""
     own, below = np.zeros(len(KEYS) + 1), np.zeros(len(KEYS) + 1)
     if key:
@@ -190,12 +238,11 @@ def features(text: str, source: str, key: str, attrs: str, nodes: list[Node], de
     size = max(len(text), 1)
     for n in nodes:
         below[_KEY_AT.get(n.key, len(KEYS))] += (n.end - n.start) / size
-    seen = strip(text, nodes)
     lines = [x for x in seen.split("\n") if x.strip()]
     n = max(len(seen), 1)
     outside = size - sum(x.end - x.start for x in nodes)
     general = [
-        depth, len(nodes), len(siblings), (siblings.count(key) / len(siblings)) if siblings else 0, len(seen) / max(len(source), 1), np.log1p(len(seen)), len(lines), outside / size,
+        depth, len(nodes), siblings, alike, len(seen) / max(len(source), 1), np.log1p(len(seen)), len(lines), outside / size,
         sum(map(str.isdigit, seen)) / n, sum(map(seen.count, "=+^_\\{}/()")) / n, sum(map(str.isalpha, seen)) / n, sum(map(str.isupper, seen)) / n,
         sum(x.rstrip().endswith((".", "!", "?")) for x in lines) / max(len(lines), 1), sum(x.startswith((" ", "\t")) for x in lines) / max(len(lines), 1), sum("|" in x or "&" in x for x in lines) / max(len(lines), 1), max((len(x) for x in lines), default=0),
         *(sum(x.end - x.start for x in nodes if _INNER_KIND.get(x.tag) == k) / size for k in KINDS), float(len(nodes) == 1), len({x.key for x in nodes}),
@@ -206,18 +253,18 @@ def features(text: str, source: str, key: str, attrs: str, nodes: list[Node], de
 def flatten(text: str) -> tuple[list[Node], list[np.ndarray], list[int]]:
     """Nodes of a block, root first, with features and the parent of each."""
     root = Node("", "", "", text, text, parse(text), 0, len(text))
+    root.bare = strip(text, root.children)
     nodes, feats, parents = [], [], []
-
-    def visit(n: Node, depth: int, parent: int, siblings: list[str]) -> None:
+    stack = [(root, 0, -1, 0, 0.0)]
+    while stack:
+        n, depth, parent, siblings, alike = stack.pop()
         k = len(nodes)
         nodes.append(n)
         parents.append(parent)
-        feats.append(features(n.inner, n.source, n.key if depth else "", n.attrs, n.children, depth, siblings))
-        keys = [c.key for c in n.children]
-        for c in n.children:
-            visit(c, depth + 1, k, keys)
-
-    visit(root, 0, -1, [])
+        feats.append(features(n.inner, n.bare, n.source, n.key if depth else "", n.attrs, n.children, depth, siblings, alike))
+        keys = Counter(c.key for c in n.children)
+        size = len(n.children)
+        stack += [(c, depth + 1, k, size, keys[c.key] / size) for c in reversed(n.children)]
     return nodes, feats, parents
 
 
@@ -230,12 +277,12 @@ _ALLOWED = np.array([[c in _MAY[a] for c in CLASSES] for a in CLASSES])
 
 
 def decode(logp: np.ndarray, parents: list[int]) -> list[int]:
-    """Most probable kinds of a tree together, no node contradicting its parent; the root has one of the seven kinds."""
-    total, pick = logp.copy(), np.zeros((len(logp), len(CLASSES)), int)
+    """Kinds of a tree that maximise the sum of the nodes' log-probabilities, none contradicting its parent; the nodes below a parent weigh as one, each an equal share, so that many children do not outvote it. The root has one of the seven kinds."""
+    total, pick, size = logp.copy(), np.zeros((len(logp), len(CLASSES)), int), Counter(parents)
     for i in range(len(logp) - 1, 0, -1):
         below = np.where(_ALLOWED, total[i][None, :], -np.inf)
         pick[i] = below.argmax(1)
-        total[parents[i]] += below.max(1) / max(1, parents.count(parents[i]))
+        total[parents[i]] += below.max(1) / size[parents[i]]
     out = [int(total[0][: len(KINDS)].argmax())]
     for i in range(1, len(logp)):
         out.append(int(pick[i][out[parents[i]]]))
@@ -305,15 +352,55 @@ def train(plain: list[str], seed: int = 7) -> Boosted:
     return Boosted(len(CLASSES), rounds=24, depth=4).fit(np.array(x), np.array(y))
 
 
+_ITEMS = {"li", "item"}
+
+
+def _list_lines(root: Node) -> list[str]:
+    """Lines of a list in order: items with '- ', each once, and the text before, between and after them as lines of its own."""
+    lines: list[list[str]] = [[]]
+    holds = {}
+    for n in reversed(preorder(root)):
+        holds[id(n)] = n.tag in _ITEMS or any(holds[id(c)] for c in n.children)
+    # Each entry: text to add, or a node to go into, or the sign that an item ends.
+    stack: list = [root]
+    while stack:
+        x = stack.pop()
+        if x is None:
+            lines.append([])
+        elif isinstance(x, str):
+            parts = x.split("\n")
+            lines[-1].append(parts[0])
+            lines += [[p] for p in parts[1:]]
+        elif not holds[id(x)]:
+            stack.append(x.seen)
+        else:
+            inside, at = [], 0
+            for c in x.children:
+                inside += [x.inner[at : c.start], c]
+                at = c.end
+            inside.append(x.inner[at:])
+            if x.tag in _ITEMS:
+                # Its own text stands in one line, however it is broken.
+                inside = [" ".join(p.split("\n")) if isinstance(p, str) else p for p in inside]
+                lines.append(["- "])
+                inside.append(None)
+            elif x is not root:
+                inside = [None, *inside, None]
+            stack += reversed(inside)
+    out = [" ".join("".join(x).split()) for x in lines]
+    return [x for x in out if x and x != "-"]
+
+
 def render(nodes: list[Node], kinds: list[int]) -> str:
-    """Clean text of a block: headings with '# ', items with '- ', cells parted by ' | ', code and formulas bare."""
+    """Clean text of a block: headings with '# ', items with '- ' and other lines of a list as they are, cells parted by ' | ', code and formulas bare."""
     root, kind = nodes[0], CLASSES[kinds[0]]
-    seen = strip(root.inner, root.children)
+    seen = root.bare
     if kind == "heading":
         return "# " + " ".join(seen.split())
     if kind == "list":
-        items = [visible(n) for n in nodes if n.tag in ("li", "item")] or seen.split("\n")
-        return "\n".join("- " + " ".join(x.split()) for x in items if x.strip())
+        if any(n.tag in _ITEMS for n in nodes):
+            return "\n".join(_list_lines(root))
+        return "\n".join("- " + " ".join(x.split()) for x in seen.split("\n") if x.strip())
     if kind == "table":
         rows = re.split(r"</tr>|\\\\|\n", root.inner) if "<tr" in root.inner or "\\\\" in root.inner else root.inner.split("\n")
         cells = [[x for x in (strip(c, parse(c)).strip() for c in re.split(r"</t[dh]>\s*|\|\|?|!!|&(?!\w+;)|^!", re.sub(r"\\(?:begin|end)\{tabular\}(?:\{\w*\})?|\{\|[^\n]*|\|\}|\|-+$", "", r))) if x] for r in rows]
@@ -331,9 +418,10 @@ def plain_sample(blocks: DataFrame) -> list[str]:
 
 def convert(blocks: DataFrame) -> DataFrame:
     """(block_id, block_kind, clean_text) of each block with markup. blocks: block_id, text; other columns are not read."""
-    model = train(plain_sample(blocks))
+    held = blocks.sparkSession.sparkContext.broadcast(train(plain_sample(blocks)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = held.value
         for b in batches:
             trees = [flatten(t) for t in b.text]
             keep = [i for i, t in enumerate(trees) if len(t[0]) > 1]

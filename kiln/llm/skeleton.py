@@ -9,7 +9,7 @@ from kiln.llm.lookalike import CYRILLIC_LATIN, GREEK_LATIN
 
 _FOLD = str.maketrans({k.lower(): v.lower() for k, v in (CYRILLIC_LATIN | GREEK_LATIN).items()} | {"ё": "e", "ß": "ss"})
 _BREAK = re.compile(r"(?<=\w)[-¬­]\s*\n\s*(?=\w)")
-_RESIDUE = re.compile(r"<ref[^<>]*>[^<>]{0,80}</ref>|\{\{[^{}]{0,120}\}\}|\$\^\{?\d+\}?\$|</?[a-zA-Z][^<>\n]{0,80}>|\]\([^()\s]{1,120}\)|\[\[[^\[\]|]{1,80}\||&[a-z]{2,8};|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?")
+_RESIDUE = re.compile(r"<ref[^<>]*>[^<>]*</ref>|\{\{[^{}]*\}\}|\$\^\{?\d+\}?\$|</?[a-zA-Z][^<>\n]*>|\]\([^()\s]+\)|\[\[[^\[\]|]+\||&[a-z]{2,8};|\\[a-zA-Z]+\*?(?:\[[^\]\n]*\])?")
 _SUP = re.compile(r"<sup>\d+</sup>")
 
 

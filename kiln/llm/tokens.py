@@ -6,13 +6,15 @@ tokens; states along a prefix that two neighbouring pieces share are carried ove
 a pair with the last token before it that the merges themselves would leave as it is; exactly one does. The counts
 at the ends of pieces are joined back to the documents.
 
-Pieces are joined by broadcast up to BROADCAST distinct pieces (counted first) and by a shuffle beyond that. Defined results: null and empty texts
-have 0 tokens; bytes outside the vocabulary count one token each; repeated rows of a table count once.
+The BROADCAST most frequent pieces are broadcast; what a text holds besides them, rare pieces by their nature, is joined by a shuffle, so that neither a hot
+piece nor the size of the vocabulary harms. Defined results: null and empty texts have 0 tokens; bytes outside the vocabulary count one token
+each; rows that are equal in all columns, text included, count once.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +29,8 @@ from kiln.session import cut, fine
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BROADCAST = 500_000
+#: Pieces that are broadcast at most.
+BROADCAST = 300_000
 
 
 def load(path: str = RANKS) -> dict[bytes, int]:
@@ -85,58 +88,64 @@ def _pieces(text: str | None, pattern) -> list[str]:
 
 
 def piece_counts(texts: DataFrame, ranks: dict[bytes, int], pattern: str = PATTERN) -> DataFrame:
-    """(piece, n): tokens of each distinct piece of column text."""
+    """(piece, times, n): occurrences (in as many batches as sent it) and tokens of each distinct piece of column text."""
+    held = texts.sparkSession.sparkContext.broadcast(ranks)
 
     def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        p, seen = regex.compile(pattern), set()
+        p = regex.compile(pattern)
         for b in batches:
-            new = {x for t in b.text for x in _pieces(t, p)} - seen
-            # What a task has sent already it does not send again; its memory is bounded.
-            seen = seen | new if len(seen) < 200_000 else new
-            yield pd.DataFrame({"piece": list(new)}, dtype=object)
+            n = Counter(x for t in b.text for x in _pieces(t, p))
+            yield pd.DataFrame({"piece": list(n), "times": list(n.values())}).astype({"piece": object, "times": "int64"})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = Walk(ranks)
+        w = Walk(held.value)
         for b in batches:
-            yield pd.DataFrame({"piece": b.piece, "n": [w.tokens(x.encode()) for x in b.piece]})
+            yield pd.DataFrame({"piece": b.piece, "times": b.times, "n": [w.tokens(x.encode()) for x in b.piece]})
 
-    pieces = cut(fine(texts.select("text")).mapInPandas(distinct, "piece string").distinct())
-    return cut(pieces.repartitionByRange("piece").sortWithinPartitions("piece").mapInPandas(walk, "piece string, n long"))
+    pieces = cut(fine(texts.select("text")).mapInPandas(distinct, "piece string, times long").groupBy("piece").agg(F.sum("times").alias("times")))
+    return cut(pieces.repartitionByRange("piece").sortWithinPartitions("piece").mapInPandas(walk, "piece string, times long, n long"))
 
 
-def counted(texts: DataFrame, key: str, path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
-    """(key, n_tokens) of each row. texts: key and text; other columns are not read."""
-    rows = texts.select(key, "text")
+def counted(texts: DataFrame, columns: list[str], path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """Distinct rows (columns, n_tokens) of texts; columns are those to carry along beside the text, others are not read."""
+    rows = texts.select(*columns, "text")
     table = piece_counts(rows, load(path), pattern)
-    schema = f"{key} {dict(rows.dtypes)[key]}, "
-    if table.count() <= BROADCAST:
-        known = dict(table.toPandas().itertuples(index=False, name=None))
-
-        def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import regex
-
-            p = regex.compile(pattern)
-            for b in batches:
-                yield pd.DataFrame({key: b[key], "n_tokens": [sum(map(known.__getitem__, _pieces(t, p))) for t in b.text]})
+    top = table.orderBy(F.desc("times"), "piece").limit(BROADCAST).select("piece", "n").toPandas()
+    known = rows.sparkSession.sparkContext.broadcast(dict(zip(top.piece, top.n.tolist())))
+    whole = table.count() <= BROADCAST
+    kinds = dict(rows.dtypes)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in columns) + "digest string, n_tokens long, rest array<struct<piece:string,times:long>>"
 
-        return fine(rows).mapInPandas(total, schema + "n_tokens long")
-
-    def exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import regex
 
-        p = regex.compile(pattern)
+        p, table = regex.compile(pattern), known.value
         for b in batches:
-            out = [(k, x, n) for k, t in zip(b[key], b.text) for x, n in (Counter(_pieces(t, p)) or {"": 1}).items()]
-            yield pd.DataFrame(out, columns=[key, "piece", "times"])
-
-    each = fine(rows.withColumn(key, F.col(key))).mapInPandas(exploded, schema + "piece string, times long")
-    # Frequent pieces would meet in one task: both sides carry a salt.
-    salts = 16
-    left = each.withColumn("salt", F.pmod(F.xxhash64(key, "piece"), F.lit(salts)))
-    right = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-    return left.join(right, ["piece", "salt"], "left").groupBy(key).agg(F.sum(F.col("times") * F.coalesce("n", F.lit(0))).cast("long").alias("n_tokens"))
+            out, sums, rest, digests = b[columns].copy(), [], [], []
+            for t in b.text:
+                n, more = 0, Counter()
+                for x in _pieces(t, p):
+                    k = table.get(x)
+                    if k is None:
+                        more[x] += 1
+                    else:
+                        n += k
+                sums.append(n)
+                rest.append([{"piece": x, "times": k} for x, k in more.items()])
+                digests.append(None if t is None else hashlib.md5(t.encode()).hexdigest())
+            out["digest"], out["n_tokens"], out["rest"] = pd.Series(digests, index=b.index, dtype=object), sums, rest
+            yield out
+
+    each = fine(rows).mapInPandas(total, schema)
+    if whole:
+        return each.select(*columns, "digest", "n_tokens").distinct().drop("digest")
+    each = cut(each)
+    open_ = each.filter(F.size("rest") > 0).dropDuplicates(["digest"]).select("digest", F.explode("rest").alias("r")).select("digest", "r.piece", "r.times")
+    more = open_.join(table.select("piece", "n"), "piece").groupBy("digest").agg(F.sum(F.col("times") * F.col("n")).alias("more"))
+    done = each.select(*columns, "digest", "n_tokens").distinct().join(more, "digest", "left")
+    return done.select(*columns, (F.col("n_tokens") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
 
 
 def last_counts(tokenized: DataFrame) -> DataFrame:
@@ -155,7 +164,7 @@ def script(text):
 def ratios(chunks: DataFrame, tokenized: DataFrame, path: str = RANKS) -> DataFrame:
     """(lang, o200k_ratio, bge_ratio): tokens of the two counts for one token of the public tokenizer, over all chunks with counts; lang null: over all languages."""
     own = chunks.filter("text is not null").groupBy("chunk_id").agg(F.max(F.struct("text", "lang")).alias("x")).select("chunk_id", "x.text", F.coalesce("x.lang", script(F.col("x.text"))).alias("lang"))
-    joined = own.select("chunk_id", "lang").join(counted(own, "chunk_id", path), "chunk_id").join(last_counts(tokenized), "chunk_id")
+    joined = counted(cut(own), ["chunk_id", "lang"], path).join(last_counts(tokenized), "chunk_id")
 
     def ratio(c: str):
         return (F.sum(c) / F.sum(F.when(F.col(c).isNotNull(), F.col("n_tokens")))).alias(f"{c}_ratio")
@@ -166,16 +175,15 @@ def ratios(chunks: DataFrame, tokenized: DataFrame, path: str = RANKS) -> DataFr
 def document_counts(docs: DataFrame, catalog: DataFrame, chunks: DataFrame, tokenized: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens exact, o200k_estimate, bge_estimate). A null lang is that of the book in the catalogue, else of the letters; a null topic that of the book."""
     books = catalog.groupBy("book").agg(F.max(F.struct("lang", "topic", "source")).alias("b")).select("book", F.col("b.lang").alias("b_lang"), F.col("b.topic").alias("b_topic"))
-    known = docs.select("doc_id", "source", "lang", "topic", "book", F.coalesce("lang", script(F.col("text"))).alias("guess")).join(F.broadcast(books) if books.count() < 100_000 else books, "book", "left")
-    known = known.select("doc_id", "source", F.coalesce("lang", "b_lang", "guess").alias("lang"), F.coalesce("topic", "b_topic").alias("topic"))
+    sized = counted(docs.withColumn("guess", F.coalesce("lang", script(F.col("text")))), ["doc_id", "source", "lang", "topic", "book", "guess"], path)
+    known = sized.join(books, "book", "left").select("doc_id", "source", F.coalesce("lang", "b_lang", "guess").alias("lang"), F.coalesce("topic", "b_topic").alias("topic"), "n_tokens")
+    # One row a language.
     r = cut(ratios(chunks, tokenized, path))
-    per = r.filter("lang is not null")
     overall = r.filter("lang is null").first()
-    rates = [(x.lang, x.o200k_ratio, x.bge_ratio) for x in per.collect()]
-    both = [F.create_map(*[F.lit(v) for x in rates for v in (x[0], x[i])]) if rates else F.create_map().cast("map<string,double>") for i in (1, 2)]
-    out = known.join(counted(docs, "doc_id", path), "doc_id")
-    estimate = lambda i: F.round(F.col("n_tokens") * F.coalesce(F.try_element_at(both[i], F.col("lang")), F.lit(overall[i + 1] if overall else None).cast("double"))).cast("long")
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", estimate(0).alias("o200k_estimate"), estimate(1).alias("bge_estimate"))
+    per = r.filter("lang is not null").select("lang", *[F.col(f"{c}_ratio").alias(c) for c in ("o200k", "bge")])
+    out = known.join(F.broadcast(per), "lang", "left")
+    estimate = lambda c: F.round(F.col("n_tokens") * F.coalesce(F.col(c), F.lit(overall[f"{c}_ratio"] if overall else None).cast("double"))).cast("long").alias(f"{c}_estimate")
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", estimate("o200k"), estimate("bge"))
 
 
 def budget(docs: DataFrame, catalog: DataFrame, chunks: DataFrame, tokenized: DataFrame, path: str = RANKS) -> DataFrame:

@@ -100,10 +100,12 @@ def test_walk_is_exact():
 
 def test_counts_by_both_joins(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(["Grain size of the strip, grain size.", "", None, "Размер зерна", "x" * 5000])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    a = {tuple(r) for r in tokens.counted(df, "doc_id").collect()}
-    monkeypatch.setattr(tokens, "BROADCAST", 0)
-    assert {tuple(r) for r in tokens.counted(df, "doc_id").collect()} == a and len(a) == 5 and (1, 0) in a and (2, 0) in a
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string")
+    a = sorted(tuple(r) for r in tokens.counted(df, ["doc_id"]).collect())
+    for few in (0, 3):
+        monkeypatch.setattr(tokens, "BROADCAST", few)
+        assert sorted(tuple(r) for r in tokens.counted(df, ["doc_id"]).collect()) == a
+    assert len(a) == 5 and (1, 0) in a and (2, 0) in a
 
 
 def test_budget_adds_up(spark, sf):
@@ -148,6 +150,26 @@ def test_consensus_trusts_judges_as_they_deserve(spark):
     assert consensus.found(df.limit(0)).count() == 0 and consensus.reliability(df.limit(0)).count() == 0
 
 
+def test_rounds_on_the_driver_equal_rounds_over_joins(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, {j: rnd.random() < (0.8 if (i % 3 == 0) == (j != "liar") else 0.25) for j in ("a", "b", "c", "liar") if rnd.random() < 0.9}, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, "item_id long, judge_flags map<string,boolean>, judged_at string")
+    monkeypatch.setattr(consensus, "ROUNDS", 6)
+    here = {r.item_id: r.p_true for r in consensus.verdicts(df).collect()}
+    monkeypatch.setattr(consensus, "LOCAL", -1)
+    there = {r.item_id: r.p_true for r in consensus.verdicts(df).collect()}
+    assert here.keys() == there.keys() and max(abs(here[k] - there[k]) for k in here) < 1e-9
+
+
+def test_mixture_of_a_given_size(spark):
+    docs = spark.createDataFrame([(i, "s" if i % 4 else "t", "word " * 50) for i in range(400)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("s", 0.5, 3), ("t", 0.5, 2)], "source string, target_share double, max_repeats int")
+    free = {r.source: r for r in mixture.shares(docs, targets).collect()}
+    assert free["t"].rate == pytest.approx(2.0) and free["s"].attained_share == pytest.approx(0.5, abs=0.05)
+    big = {r.source: r for r in mixture.shares(docs, targets, size=10 * free["s"].tokens_in).collect()}
+    assert big["t"].rate == 2.0 and big["s"].rate == 3.0 and big["t"].attained_share < 0.3
+
+
 def test_agreement_by_hand(spark):
     rows = [(1, {"a": True, "b": True}, "x"), (2, {"a": True, "b": False}, "x"), (3, {"a": False, "b": False}, "x"), (4, {"a": True}, "x"), (5, {"a": None, "b": True}, "x")]
     df = spark.createDataFrame(rows, "item_id long, judge_flags map<string,boolean>, judged_at string")
