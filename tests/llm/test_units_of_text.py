@@ -426,6 +426,11 @@ def test_best_segment_against_brute_force():
         assert m.segment(keys)[0] == pytest.approx(max(best, 0.0) if any(k in scores for k in keys) else 0.0)
 
 
+def test_scale_of_maxima():
+    # Two scores, +1 with share p and -1 with share q: exp(x) = q / p.
+    assert toxic.scale_of([1.0], [249_999.5], -1.0, 1_000_000.0) == pytest.approx(1 / np.log(3), rel=1e-3)
+
+
 def test_toxic_documents(spark):
     rnd = random.Random(6)
     base = ["The strip is cooled on the table.", "Rolling force follows the reduction.", "Grain size depends on the finishing pass.", "The slab leaves the furnace at night."]
