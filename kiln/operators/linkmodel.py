@@ -98,7 +98,7 @@ def train(features: DataFrame, edges: DataFrame, seeds: tuple[int, ...] = SEEDS,
     names = [n for n in names if n in table]
     at = {n: i for i, n in enumerate(names)}
     rows = sorted((at[r.src], at[r.dst], r.part, r.label) for r in rows if r.src in at and r.dst in at)
-    dim = len(next(iter(table.values()))[0]) if table else 1
+    dim = len(one.x) if (one := features.select("x").first()) else 1
     x, m = (np.array([table[n][i] for n in names], float).reshape(-1, dim) for i in (0, 1))
     train_ = np.array([r[:2] for r in rows if r[2] == "train"], int).reshape(-1, 2)
     held = [r for r in rows if r[2] == "valid"]
@@ -115,7 +115,7 @@ def encode(features: DataFrame, edges: DataFrame, encoders: list[Encoder]) -> Da
             if len(b):
                 x, m = np.stack(b.x.to_numpy()).astype(float), np.stack(b.m.to_numpy()).astype(float)
                 z = np.concatenate([e.encode(x, m) for e in held.value], axis=1) / len(held.value) ** 0.5
-                yield pd.DataFrame({"name": b.name if isinstance(b.name, pd.Series) else b["name"], "x": list(z)})
+                yield pd.DataFrame({"name": b["name"], "x": list(z)})
 
     near = mean_neighbours(features, edges).withColumnRenamed("x", "m")
     return features.select("name", "x").join(near, "name").mapInPandas(run, "name string, x array<double>")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kiln.operators import units
-from kiln.plans import blocks, chunking, cleaning, evaluation, graph, normalization, relational, vectors  # noqa: F401  (each module registers its queries)
+from kiln.plans import blocks, chunking, cleaning, evaluation, graph, normalization, relational, stages, vectors  # noqa: F401  (each module registers its queries)
 from kiln.plans.base import QUERIES, SQL, Query
 from kiln.session import table
 

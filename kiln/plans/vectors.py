@@ -87,13 +87,17 @@ def vector_norms(t: Tables) -> DataFrame:
     return t.embeddings.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 6).alias("first_mean"), F.round(F.min(n), 4).alias("least_norm"))
 
 
-def features(t: Tables) -> DataFrame:
-    """Eight hashed counts of character pairs of each name."""
-    names = GP.names(t)
+def hashed(names: DataFrame) -> DataFrame:
+    """(name, x): eight hashed counts of character pairs of each name."""
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr("name", i, F.lit(2))), F.lit(8)))
     return names.select("name", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double")).alias("x")).withColumn("x", V.unit(F.col("x")))
 
 
+def features(t: Tables) -> DataFrame:
+    """hashed() of the vertices."""
+    return hashed(GP.names(t))
+
+
 @query()
 def sage_embedding(t: Tables) -> DataFrame:
     return V.sage(features(t), GP.edges(t)).select("name", F.transform("x", lambda v: F.round(v, 6)).alias("x"))

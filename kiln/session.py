@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,13 +100,21 @@ def _at_end() -> None:
 SPREAD = 16 << 20
 
 
+#: Nodes of a logical plan that shuffle, or run a job when they are planned.
+_WIDE = re.compile(r"\b(?:Aggregate|Join|Repartition\w*|Rebalance\w*|Sort|Window|Distinct|Except|Intersect|GlobalLimit|Expand)\b")
+
+
 def fine(df: DataFrame, factor: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
-    """Spread rows over factor tasks a core, by the keys in by if given, where Python work per row is heavy and the table is small; larger ones are split well by their scan or shuffle.
+    """Spread rows over factor tasks a core, by the keys in by if given, where Python work per row is heavy and the table is small; larger ones are split well by their scan or shuffle, and so is a scan with a split for every core.
 
-    Decided on the optimizer's estimate of the size, so no job runs for it. Grouping by the same keys afterwards needs no further shuffle."""
+    Decided on the optimizer's plan and estimate of the size, so no job runs for it. Grouping by the same keys afterwards needs no further shuffle."""
     n = df.sparkSession.sparkContext.defaultParallelism * factor
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(n, *by) if size < n * SPREAD else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) >= n * SPREAD:
+        return df
+    if not by and not _WIDE.search(plan.toString()) and df._jdf.queryExecution().toRdd().getNumPartitions() >= n // 2:
+        return df
+    return df.repartition(n, *by)
 
 
 def clustered(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ()) -> DataFrame:
