@@ -47,7 +47,7 @@ def dehyphenation(t: Tables) -> DataFrame:
     return C.join_breaks(chunks(t), "chunk_id", C.vocabulary(chunks(t), "book"))
 
 
-@query()
+@query(f"SELECT chunk_id, nfc_normalize(text) AS text FROM {CHUNKS}")
 def normal_forms(t: Tables) -> DataFrame:
     return C.normal_form(chunks(t), "chunk_id")
 

@@ -77,7 +77,10 @@ def evidence_in_book(t: Tables) -> DataFrame:
     return R.all_evidence(t.questions.select("question_id", "book", "evidence").distinct(), units).select("question_id", F.col("unit_id").alias("chunk_id"))
 
 
-@query()
+@query("""
+WITH q AS (SELECT DISTINCT question_id, evidence FROM questions WHERE len(evidence) > 0 AND question_id IS NOT NULL AND len(list_filter(evidence, lambda e: e IS NULL)) = 0), c AS (SELECT DISTINCT chunk_id, lower(text) AS low FROM chunks)
+SELECT DISTINCT question_id, chunk_id FROM q JOIN c ON len(list_filter(evidence, lambda e: NOT contains(low, lower(e)))) = 0 AND low IS NOT NULL
+""")
 def evidence_anywhere(t: Tables) -> DataFrame:
     units = t.chunks.select(F.col("chunk_id").alias("unit_id"), "book", "text").distinct()
     return R.all_evidence(t.questions.select("question_id", "book", "evidence").distinct(), units, match_book=False).select("question_id", F.col("unit_id").alias("chunk_id"))

@@ -54,6 +54,7 @@ def degree_stats(t: Tables) -> DataFrame:
     return d.agg(n.alias("n_vertices"), (F.sum("degree") / 2).cast("long").alias("n_edges"), F.round(F.avg("degree"), 6).alias("mean_degree"), F.median("degree").alias("median_degree"), F.max("degree").alias("max_degree"), F.count_if(F.col("degree") == 1).alias("n_leaves"), F.count_if(F.col("degree") == 0).alias("n_isolated"), F.round(F.sum("degree") / (n * (n - 1)), 8).alias("density"))
 
 
+PT = f"pt AS MATERIALIZED (SELECT DISTINCT src, dst FROM {P})"
 COMP = f"r(name, reach) AS (SELECT name, name FROM {N} UNION SELECT r.name, p.dst FROM r JOIN {P} p ON p.src = r.reach), c AS (SELECT name, min(reach) AS component FROM r GROUP BY name)"
 
 
@@ -119,7 +120,10 @@ def shortest_path_len(t: Tables) -> DataFrame:
     return G.shortest(edges(t), asked.join(seeds(t).select(F.col("seed").alias("a")), "a", "left_semi"), 3)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PT}, b(a, b, d) AS (SELECT DISTINCT upper(trim(name)), upper(trim(name)), 0 FROM query_entities WHERE name IS NOT NULL UNION SELECT b.a, pt.dst, b.d + 1 FROM b JOIN pt ON pt.src = b.b WHERE b.d < 3)
+SELECT a, b, min(d)::INT AS distance FROM b GROUP BY 1, 2
+""")
 def shortest_paths(t: Tables) -> DataFrame:
     """Every queried name to every name at most 3 edges away; shortest_path_len has pairs of three names only."""
     asked = t.query_entities.filter("name is not null").select(F.upper(F.trim("name")).alias("seed")).distinct()
@@ -186,12 +190,18 @@ def alias_resolve(t: Tables) -> DataFrame:
     return q.join(k, "alias").withColumn("rank", F.row_number().over(Window.partitionBy("alias").orderBy(F.desc("degree"), "name")))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PT}, r(a, b, v) AS (SELECT src, dst, src FROM pt WHERE src < dst UNION SELECT r.a, r.b, pt.dst FROM r JOIN pt ON pt.src = r.v WHERE NOT (pt.src = r.a AND pt.dst = r.b) AND NOT (pt.src = r.b AND pt.dst = r.a))
+SELECT src, dst FROM pt WHERE src < dst AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = src AND r.b = dst AND r.v = dst)
+""")
 def bridges(t: Tables) -> DataFrame:
     return G.bridges(names(t), edges(t))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {COMP}, {PT}, f AS (SELECT src AS x, min(dst) AS first FROM pt GROUP BY 1), w(x, v) AS (SELECT x, first FROM f UNION SELECT w.x, pt.dst FROM w JOIN pt ON pt.src = w.v WHERE pt.dst <> w.x)
+SELECT DISTINCT c.component, pt.src AS name FROM pt JOIN c ON c.name = pt.src WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.x = pt.src AND w.v = pt.dst)
+""")
 def articulation_points(t: Tables) -> DataFrame:
     return G.articulation(names(t), edges(t))
 
@@ -206,9 +216,12 @@ def dfs_depth(t: Tables) -> DataFrame:
     return G.depth_first(names(t), edges(t))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {COMP}, {PT}, b(s, v, d) AS (SELECT name, name, 0 FROM {N} UNION SELECT b.s, pt.dst, b.d + 1 FROM b JOIN pt ON pt.src = b.v WHERE b.d < 40), m AS (SELECT s, v, min(d) AS d FROM b GROUP BY 1, 2)
+SELECT c.component, count(DISTINCT s)::INT AS size, max(d)::INT AS diameter, round(coalesce(sum(d) / nullif(count(*) FILTER (d > 0), 0), 0)::DOUBLE, 8) AS mean_path FROM m JOIN c ON c.name = m.s GROUP BY 1
+""")
 def path_lengths(t: Tables) -> DataFrame:
-    return G.path_lengths(names(t), edges(t))
+    return G.path_lengths(names(t), edges(t)).withColumn("mean_path", F.round("mean_path", 8))
 
 
 @query()

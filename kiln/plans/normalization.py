@@ -141,5 +141,5 @@ def glossary_coverage(t: Tables) -> DataFrame:
     words = c.select("chunk_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
     lengths = [r.n for r in first.select(F.length("w").alias("n")).distinct().orderBy("n").collect()]
     tails = words.select("chunk_id", F.explode(F.array_distinct(F.array(*[F.expr(f"right(word, {n})") for n in lengths]))).alias("w")).distinct() if lengths else words.withColumnRenamed("word", "w")
-    met = tails.join(F.broadcast(first), "w").join(c, "chunk_id").filter(F.contains("low", "k"))
+    met = tails.join(first, "w").join(c, "chunk_id").filter(F.contains("low", "k"))
     return met.groupBy("title").agg(F.countDistinct("chunk_id").alias("n_chunks"))

@@ -82,7 +82,12 @@ def coreference_sweep(t: Tables) -> DataFrame:
     return S.sweep(S.similar(titles(t), titles(t), 0.5).filter("a < b"), [0.95, 0.92, 0.85, 0.8, 0.7, 0.6, 0.5])
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT DISTINCT upper(trim(name)) AS term FROM query_entities WHERE name IS NOT NULL), e AS (SELECT DISTINCT title AS name FROM entity_titles WHERE title IS NOT NULL),
+x AS (SELECT term, {KEY.format('term')} AS k, ' ' || {_latin_sql('term')} || ' ' AS s FROM t), y AS (SELECT name, {KEY.format('name')} AS k, ' ' || {_latin_sql('name')} || ' ' AS s FROM e),
+gx AS (SELECT term, k, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3))) AS g FROM x), gy AS (SELECT name, k, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: substr(s, i, 3))) AS g FROM y)
+SELECT term, bool_or(contains(' ' || y.k || ' ', ' ' || x.k || ' ')) AS lexical, bool_or(contains(' ' || y.k || ' ', ' ' || x.k || ' ') OR (term <> name AND round(len(list_intersect(x.g, y.g)) / sqrt(len(x.g) * len(y.g)::DOUBLE), 6) >= 0.8)) AS similar FROM gx x, gy y GROUP BY term
+""")
 def domain_coverage(t: Tables) -> DataFrame:
     """Each queried name: whether it stands within a title, and whether it does or a title is similar to it."""
     return S.coverage(t.query_entities.filter("name is not null").select(F.upper(F.trim("name")).alias("term")), titles(t))
