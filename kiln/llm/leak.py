@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -172,22 +172,27 @@ class Patterns:
         return float(words.sum()) / max(size, 1)
 
 
+def _fold(text: str | None) -> str:
+    return fold(plain(text)) if text else ""
+
+
 def _folded(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with each text as the search sees it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "text": [fold(plain(t)) if t else "" for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "text": [_fold(t) for t in b.text]})
 
     return fine(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, text string")
 
 
-def _block_leaks(folded: DataFrame, held: Broadcast) -> DataFrame:
+def _block_leaks(docs: DataFrame, held: Broadcast, seen: Callable[[str | None], str]) -> DataFrame:
+    """(doc_id, item_id, share) of one block of items; seen brings a text of docs to the form of the search."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         patterns: Patterns = held.value
         gap = np.zeros(1, np.uint32)
         for b in batches:
-            texts = [_codes(t) for t in b.text]
+            texts = [_codes(seen(t)) for t in b.text]
             joined = np.concatenate([x for t in texts for x in (t, gap)]) if texts else gap
             first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             place, pattern = patterns.search(joined)
@@ -198,7 +203,7 @@ def _block_leaks(folded: DataFrame, held: Broadcast) -> DataFrame:
             out = [(b.doc_id.iloc[d], patterns.ids[k], share) for (d, k), hits in by.items() if (share := patterns.coverage(k, hits, texts[d])) >= LEAST]
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
 
-    return folded.mapInPandas(run, "doc_id long, item_id long, share double")
+    return docs.mapInPandas(run, "doc_id long, item_id long, share double")
 
 
 def blocks(items: DataFrame) -> DataFrame:
@@ -217,12 +222,10 @@ def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, share): documents that hold LEAST of an item's words or more. docs: doc_id, text; items: item_id, item_text."""
     spark, tables = docs.sparkSession, cut(blocks(items))
     numbers = sorted(r.block for r in tables.select("block").collect())
-    folded, out = _folded(docs), None
-    if len(numbers) > 1:
-        folded = cut(folded)
+    rows, seen, out = (fine(docs.select("doc_id", "text")), _fold, None) if len(numbers) <= 1 else (cut(_folded(docs)), str, None)
     for k in numbers:
         held = spark.sparkContext.broadcast(pickle.loads(tables.filter(F.col("block") == k).first().tables))
-        part = _block_leaks(folded, held)
+        part = _block_leaks(rows, held, seen)
         # With several blocks each is searched before the next is held.
         if len(numbers) > 1:
             part = cut(part)

@@ -372,6 +372,20 @@ def test_leaks_however_they_look(spark):
     assert leak.found(docs.limit(0), items).count() == 0 and leak.found(docs, items.limit(0)).count() == 0
 
 
+def test_blocks_of_items_short_items_and_shared_phrases(spark, monkeypatch):
+    rnd = random.Random(9)
+    phrase = "this phrase is shared by all of the items here "
+    items = [(i, phrase + " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(20))) for i in range(30)] + [(90, "rolling mills need good care")]
+    docs = [(i, f"before {items[i][1]} after") for i in range(0, 30, 3)] + [(500, "we say rolling mills need good care always"), (501, phrase), (502, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame(items, "item_id long, item_text string")
+    want = {(i, i) for i in range(0, 30, 3)} | {(500, 90)}
+    assert {tuple(r) for r in leak.found(d, t).collect()} == want
+    monkeypatch.setattr(leak, "BLOCK_CHARS", 1500)
+    monkeypatch.setattr(leak, "SLICE", 7)
+    assert {tuple(r) for r in leak.found(d, t).collect()} == want and leak.blocks(t).count() > 1
+
+
 def test_skeleton():
     assert plain("the<ref>AB-1</ref> [roll](x/y-1) con-\nfused &nbsp; {{cite|A}}").split() == ["the", "[roll", "confused"] or "confused" in plain("con-\nfused")
     assert fold("Grаdе") == fold("GRADE") == "grade" and fold("Kühlung") == fold(unicodedata.normalize("NFD", "KÜHLUNG"))
@@ -424,6 +438,11 @@ def test_best_segment_against_brute_force():
         keys = [f"w{rnd.randint(0, 14)}" for _ in range(12)]
         best = max(sum(m.row(k)[c] for k in keys[i:j]) for c in range(3) for i in range(12) for j in range(i + 1, 13))
         assert m.segment(keys)[0] == pytest.approx(max(best, 0.0) if any(k in scores for k in keys) else 0.0)
+    texts = ["\n".join("0 " + " ".join(f"w{rnd.randint(0, 14)}" for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 5))) for _ in range(40)] + ["", "1 w1"]
+    x = m.maxima(texts)
+    lines = [(d, k) for d, t in enumerate(texts) for _, k in toxic._lines(t)]
+    assert x.doc.tolist() == [d for d, _ in lines] and x.words == [k for _, k in lines]
+    assert x.best.max(1) == pytest.approx([m.segment(k)[0] for _, k in lines], abs=1e-4)
 
 
 def test_scale_of_maxima():
