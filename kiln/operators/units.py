@@ -111,19 +111,29 @@ _CUES = {
 _GRAIN = re.compile(r"grain|intercept|зерн|korn", re.I)
 _CUE_RE = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 _NAME_RE = {k: re.compile(v, re.I) for k, v in _NAMES.items()}
+#: A stem of each name above: a sentence without one names no quantity.
+_STEMS = "temperatur температур strength stress прочност напряжен текучест сопротивлен festigkeit spannung streckgrenze dimension length thickness gauge width размер длин толщин abmessung maße länge dicke cooling скорост kühl energ энерги работ kerbschlag schlagarbeit force load усили нагрузк kraft kräft last".split()
+_SQUARE = re.compile(r"(?:mm|мм)\s?2")
 _LEAD = re.compile(r"(?:\b(?:at|to|of|reached|was|measured|absorbed|is|from|rate|and|then|при|составил[аои]?|равн[аоы]|равен|достигло|усилие|на|поглотил[аи]?|скорость|скоростью|до|от|и|затем|bei|auf|mit|von|betrug|nahm|war|bis|dann|und)\s+|[–—−]\s?)$", re.I)
 _UNIT_WORD = re.compile(rf"(?<![\w])(?:{_UNIT}|(?P<ux>inch(?:es)?|дюйм\w*|тоннах-силах|градусах))(?![\w])")
 _DIGIT = re.compile(r"\d")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-ZА-ЯЁÄÖÜ<\\*|])|\n\s*\n")
 _INVISIBLE = re.compile("[​-‏⁠-⁤﻿­͏]")
 _BREAK = re.compile(r"(?<=[a-zäöüßа-яё])[-¬]\s*\n\s*(?=[a-zäöüßа-яё])")
-_TAGS = re.compile(r"<[^<>\n]{1,80}>|\*{1,3}|'{2,5}|\\(?:textbf|textit|emph|text)\{|&nbsp;|~")
+_TAGS = re.compile(r"<[/!a-zA-Z][^<>\n]*>|\*{1,3}|'{2,5}|\\(?:textbf|textit|emph|text)\{|&nbsp;|~")
+
+
+_MARKED, _BLANKS = re.compile(r"[<*'\\&~]"), re.compile(r"[^\S\n]+")
 
 
 def plain(text: str) -> str:
     """Compatibility form without invisible characters, broken words and inline marks; line breaks stay."""
-    t = _BREAK.sub("", _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
-    return re.sub(r"[^\S\n]+", " ", _TAGS.sub(lambda m: " " if m[0][0] in "<&~" else "", t))
+    t = text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+    if "\n" in t:
+        t = _BREAK.sub("", t)
+    if _MARKED.search(t):
+        t = _TAGS.sub(lambda m: " " if m[0][0] in "<&~" else "", t)
+    return _BLANKS.sub(" ", t)
 
 
 def number(s: str, decimal_comma: bool) -> float:
@@ -170,7 +180,8 @@ def observations(text: str | None, lang: str | None) -> list[tuple[int, str, str
         sentences.append((at, t[at:end].replace("\n", " ")))
         at = m.end() if m else end
     for _, s in sentences:
-        if not re.search(r"\d", re.sub(r"(?:mm|мм)\s?2", "", s)):
+        low = s.lower()
+        if any(x in low for x in _STEMS) and not (_DIGIT.search(s) and _DIGIT.search(_SQUARE.sub("", s))):
             for m in _UNIT_WORD.finditer(s):
                 u = _unit_of(m)
                 if u and _NAME_RE[u[0]].search(s) and len(m[0]) > (1 if u[0] != "temperature" else 0):
