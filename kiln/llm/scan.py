@@ -351,7 +351,7 @@ def train_ranker(words: list[tuple[str, int]], seed: int = 3) -> Boosted:
     for w, n in words:
         a = misread(w, rnd)
         if a != w:
-            na = float(draw.poisson(n * rnd.choice([0.0, 0.001, 0.005, 0.01, 0.03])))
+            na = float(draw.poisson(n * rnd.choice([0.0, 0.001, 0.005, 0.01, 0.03, 0.05])))
             x.append(pair_features(a, w, na, n))
             y.append(1)
             # What stands for a tenth of a frequent word is a word of its own, however near.
