@@ -7,7 +7,7 @@ its maximum-scoring segment; a Gumbel law turns a segment's score into a p-value
 scores of the tokens and their shares in the corpus without the passages (the root of the sum of share times exp(score / scale) = 1), its location from
 the sentence maxima of all documents. A segment counts for its category of the highest score.
 
-At most MAX_LABELLED labelled documents and MAX_PASSAGES passages (the first by hash) teach a model; corpus counts, segments and calibration cover all documents. Defined results:
+All labelled documents and all passages teach a model; executors count their words, the driver holds a row a distinct word. Defined results:
 null and empty texts score 0; documents with a null id have no row; labels of documents that are not there are ignored; repeated label rows count once; a document with labels that
 contradict each other takes their majority.
 """
@@ -34,9 +34,8 @@ from kiln.llm.skeleton import plain
 from kiln.session import cut, fine
 
 CATEGORIES = ["abuse", "hate", "sexual"]
-MAX_LABELLED = 20_000
-#: Passages that teach a model at most, and how often a model teaches the next.
-MAX_PASSAGES, ROUNDS = 100_000, 2
+#: How often a model teaches the next.
+ROUNDS = 2
 #: Weight of the Dirichlet prior in tokens.
 PRIOR = 300.0
 #: Standard errors that a token's log-odds must lie above 0 to count for a category.
@@ -106,17 +105,18 @@ class Model:
 
     def __init__(self, scores: dict[str, list[float]], drift: list[float]):
         self.scores, self.drift, self.scale = scores, drift, 1.0
-        self.masked: dict[str, str] = {}
-        for w, s in scores.items():
-            if max(s) > 1 and len(w) >= 4:
-                for i in range(len(w)):
-                    for m in (w[:i] + "*" + w[i + 1 :], w[:i] + "*" + w[i:]):
-                        if m not in self.masked or max(self.scores[self.masked[m]]) < max(s):
-                            self.masked[m] = w
+        self.letters = sorted({x for w, s in scores.items() if max(s) > 1 and len(w) >= 4 for x in w})
+
+    def unmasked(self, token: str) -> str:
+        """The word of the highest score, of equal ones the first by name, that has a letter in the place of the '*' or before which or within which it was put; the token if there is none."""
+        before, _, after = token.partition("*")
+        near = [before + after] * bool(after) + [before + x + after for x in self.letters]
+        near = [w for w in near if len(w) >= 4 and w in self.scores and max(self.scores[w]) > 1]
+        return min(near, key=lambda w: (-max(self.scores[w]), w), default=token)
 
     def row(self, token: str) -> list[float]:
         if "*" in token:
-            token = self.masked.get(token, token)
+            token = self.unmasked(token)
         if token not in self.scores and len(token) > 4 and token[0] in "aiаияв":
             # Spaced letters after a word of one letter: "a m o r o n".
             token = token[1:]
@@ -258,46 +258,41 @@ def passages(keys: DataFrame, model: Broadcast, least: float) -> DataFrame:
     return keys.select("keys").mapInPandas(run, "cls int, line string")
 
 
-def taught(found_: DataFrame) -> list[tuple[int, int, str, float]]:
-    """(cls, speech, token, n) of at most MAX_PASSAGES passages: all, or the share of them that a hash draws; each counts for as many as it stands for."""
-    every = found_.count() // MAX_PASSAGES + 1
-    drawn = found_.filter(F.pmod(F.xxhash64("line"), F.lit(every)) == 0).limit(2 * MAX_PASSAGES) if every > 1 else found_
-    n: Counter = Counter()
-    for r in drawn.collect():
-        for g, ks in _lines(r.line):
-            n.update((r.cls, g, k) for k in ks if "*" not in k)
-    return [(*k, float(v * every)) for k, v in n.items()]
-
-
-def weighed(counts: list[tuple[int, int, str, float]], corpus: dict[tuple[int, str], float], total: list[float]) -> Model:
-    """Dirichlet log-odds of each token seen in a category against the corpus without the category, within the language group of the token."""
-    per: list[Counter] = [Counter() for _ in CATEGORIES]
-    size = np.zeros((len(CATEGORIES), 3))
-    for c, g, k, n in counts:
-        per[c][g, k] += n
-        size[c, g] += n
+def taught(found_: DataFrame) -> DataFrame:
+    """(cls, speech, token, n) of all passages."""
+    per = found_.select("cls", F.substring("line", 1, 1).cast("int").alias("speech"), F.explode(F.split(F.substr("line", F.lit(3)), " ")).alias("token"))
+    return per.filter(~F.contains("token", F.lit("*"))).groupBy("cls", "speech", "token").agg(F.count("*").cast("double").alias("n"))
+
+
+def words(counts: DataFrame, corpus: DataFrame) -> pd.DataFrame:
+    """(speech, token, n0, n1, .., corpus): how often each word of counts (cls, speech, token, n) is in each category and in corpus (speech, token, corpus), which has every word. Grows with the distinct words, not with the passages."""
+    n = [F.sum(F.when(F.col("cls") == c, F.col("n")).otherwise(0.0)).alias(f"n{c}") for c in range(len(CATEGORIES))]
+    return counts.groupBy("speech", "token").agg(*n).join(corpus, ["speech", "token"]).toArrow().to_pandas()
+
+
+def weighed(per: pd.DataFrame, total: list[float]) -> Model:
+    """Dirichlet log-odds of each token of words() against the corpus without the category, within the language group of the token."""
+    n = [f"n{c}" for c in range(len(CATEGORIES))]
+    size = per.groupby("speech")[n].sum().reindex(range(3), fill_value=0.0).to_numpy().T
     drift = [min(-1.0, math.log(PRIOR / (s.sum() / 2 + PRIOR))) for s in size]
-    home: dict[str, int] = {}
-    for g, w in sorted(set().union(*per)):
-        if w not in home or corpus.get((g, w), 0.0) > corpus.get((home[w], w), 0.0):
-            home[w] = g
-    scores = {}
-    for w, g in home.items():
-        p = (corpus.get((g, w), 0.0) + 0.5) / (total[g] + 0.5)
-        a, out = PRIOR * p, []
-        for c in range(len(CATEGORIES)):
-            x = per[c][g, w]
-            rest = max(corpus.get((g, w), 0.0) - x, 0.0)
-            odds = math.log((x + a) / (size[c, g] + PRIOR)) - math.log((rest + a + 0.01) / (max(total[g] - size[c, g], 1.0) + PRIOR))
-            sd = math.sqrt(1 / (x + a + 0.05) + 1 / (rest + a + 0.05)) if rest > 1 else math.sqrt(1 / (x + 0.05))
-            # What lies above TOP counts little, but enough to tell categories apart.
-            out.append(max(drift[c], (odds if odds <= TOP else TOP + 0.01 * (odds - TOP)) if odds > SURE * sd else min(odds, -0.5)))
-        if max(out) > 0:
-            scores[w] = out
-        elif min(corpus.get((g, w), 0.0), 5) == 5:
-            scores[w] = out
-    model = Model(scores, drift)
-    model.scale = max(scale_of([scores[w][c] for w in scores], [max(corpus.get((home[w], w), 0.0) - per[c][home[w], w], 0.0) for w in scores], drift[c], sum(total)) for c in range(len(CATEGORIES)))
+    # The language group of a token is the one that has it most often.
+    home = per.sort_values(["token", "corpus", "speech"], ascending=[True, False, True]).drop_duplicates("token")
+    g, seen, of = home["speech"].to_numpy(int), home["corpus"].to_numpy(float), np.array(total)
+    a = PRIOR * (seen + 0.5) / (of[g] + 0.5)
+    out, beside = np.zeros((len(home), len(CATEGORIES))), np.zeros((len(home), len(CATEGORIES)))
+    for c in range(len(CATEGORIES)):
+        x = home[n[c]].to_numpy(float)
+        rest = beside[:, c] = np.maximum(seen - x, 0.0)
+        odds = np.log((x + a) / (size[c, g] + PRIOR)) - np.log((rest + a + 0.01) / (np.maximum(of[g] - size[c, g], 1.0) + PRIOR))
+        sd = np.sqrt(np.where(rest > 1, 1 / (x + a + 0.05) + 1 / (rest + a + 0.05), 1 / (x + 0.05)))
+        # What lies above TOP counts little, but enough to tell categories apart.
+        out[:, c] = np.maximum(drift[c], np.where(odds > SURE * sd, np.where(odds <= TOP, odds, TOP + 0.01 * (odds - TOP)), np.minimum(odds, -0.5)))
+    listed = (out.max(1) > 0) | (seen >= 5)
+    out, beside = out[listed], beside[listed]
+    # Rare words have few different rows of scores; equal ones are one object.
+    rows: dict[tuple[float, ...], list[float]] = {}
+    model = Model({w: rows.setdefault(tuple(s), s) for w, s in zip(home["token"].to_numpy()[listed], out.tolist())}, drift)
+    model.scale = max(scale_of(out[:, c].tolist(), beside[:, c].tolist(), drift[c], sum(total)) for c in range(len(CATEGORIES)))
     return model
 
 
@@ -319,27 +314,21 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with cls: the category of a document that most reviews call toxic; null if there is none."""
     votes = labels.select("doc_id", "toxic", "category", "reviewer").distinct()
     per = votes.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"), F.mode("category").alias("category")).filter("toxic > 0.5 and category is not null")
-    picked = per.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     cls = F.create_map(*[F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)])
-    return docs.select("doc_id", "text").join(picked.select("doc_id", F.try_element_at(cls, F.col("category")).alias("cls")), "doc_id", "left")
+    return docs.select("doc_id", "text").join(per.select("doc_id", F.try_element_at(cls, F.col("category")).alias("cls")), "doc_id", "left")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
     """(the model, the keyed documents)."""
     keys = keyed(labelled(docs, labels))
     counts = cut(counted(keys))
-    sums = {r.speech: r.n for r in counts.filter("cls = -1").groupBy("speech").agg(F.sum("n").alias("n")).collect()}
+    corpus = counts.filter("cls = -1").select("speech", "token", F.col("n").alias("corpus"))
+    sums = {r.speech: r.n for r in corpus.groupBy("speech").agg(F.sum("corpus").alias("n")).collect()}
     total = [float(sums.get(g) or 0.0) for g in range(3)]
-
-    def model(rows: list[tuple[int, int, str, float]]) -> Model:
-        need = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for _, _, k, _ in rows})], "token string")
-        corpus = {(r.speech, r.token): r.n for r in counts.filter("cls = -1").join(need, "token", "left_semi").collect()}
-        return weighed(rows, corpus, total)
-
-    out = model([(r.cls, r.speech, r.token, r.n) for r in counts.filter("cls >= 0").collect()])
+    out = weighed(words(counts.filter("cls >= 0"), corpus), total)
     # The passages of a model, in all documents, teach the next with the words that they bring.
     for _ in range(ROUNDS):
-        out = model(taught(cut(passages(keys, docs.sparkSession.sparkContext.broadcast(out), FIRM))))
+        out = weighed(words(taught(passages(keys, docs.sparkSession.sparkContext.broadcast(out), FIRM)), corpus), total)
     return out, keys
 
 

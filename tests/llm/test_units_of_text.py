@@ -5,6 +5,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kiln.llm import consensus, leak, lookalike, markup, mixture, pairs, scan, tokens, toxic
 from kiln.llm.gbt import Boosted
@@ -450,6 +451,34 @@ def test_scale_of_maxima():
     assert toxic.scale_of([1.0], [249_999.5], -1.0, 1_000_000.0) == pytest.approx(1 / np.log(3), rel=1e-3)
 
 
+def test_all_passages_and_labels_teach(spark):
+    # Beyond 100 000 passages and 20 000 labelled documents, every one counts, and once: also a word that only one of them has.
+    n = 120_000
+    lines = spark.range(n).select(F.lit(1).alias("cls"), F.concat(F.lit("2 vermin f*ul "), F.when(F.col("id") % 3_000 == 0, F.concat(F.lit("rare"), "id")).otherwise("often")).alias("line"))
+    rare = {f"rare{i}": 1.0 for i in range(0, n, 3_000)}
+    counts = toxic.taught(lines)
+    assert {(r.cls, r.speech) for r in counts.collect()} == {(1, 2)}
+    assert {r.token: r.n for r in counts.collect()} == rare | {"vermin": float(n), "often": float(n - len(rare))}
+    corpus = counts.select("speech", "token", (F.col("n") * 2).alias("corpus"))
+    per = toxic.words(counts, corpus)
+    assert sorted(per["token"]) == sorted([*rare, "vermin", "often"]) and (per["corpus"] == 2 * per["n1"]).all() and not per[["n0", "n2"]].any().any()
+    assert set(rare) <= set(toxic.weighed(per, [0.0, 0.0, 1e8]).scores)
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id"))
+    labels = ids.select("doc_id", F.lit(1).alias("toxic"), F.lit("hate").alias("category"), F.lit("r").alias("reviewer"))
+    assert toxic.labelled(ids.withColumn("text", F.lit("x")), labels).filter("cls = 1").count() == 25_000
+
+
+def test_masked_words_against_brute_force():
+    rnd = random.Random(3)
+    scores = {"".join(rnd.choice("abc") for _ in range(rnd.randint(3, 6))): [rnd.uniform(-2, 4) for _ in toxic.CATEGORIES] for _ in range(60)}
+    m = toxic.Model(scores, [-1.0, -1.0, -1.0])
+    strong = [w for w, s in scores.items() if max(s) > 1 and len(w) >= 4]
+    masked = {x for w in strong for i in range(len(w)) for x in (w[:i] + "*" + w[i + 1 :], w[:i] + "*" + w[i:])}
+    for t in sorted(masked) + ["zz*zz", "a*b*c", "*", "abc*"]:
+        near = [w for w in strong if any(t in (w[:i] + "*" + w[i + 1 :], w[:i] + "*" + w[i:]) for i in range(len(w)))]
+        assert m.unmasked(t) == (max(near, key=lambda w: max(scores[w])) if near else t)
+
+
 def test_toxic_documents(spark):
     rnd = random.Random(6)
     base = ["The strip is cooled on the table.", "Rolling force follows the reduction.", "Grain size depends on the finishing pass.", "The slab leaves the furnace at night."]
