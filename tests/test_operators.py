@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -402,3 +403,17 @@ def test_providers(spark):
     assert {r.k: r.answer for r in got.collect()} == {1: "ROLL", 2: "ROLL", 3: None} and fresh.count() == 1
     again, more = answer(df, "k", "text", lambda p: "x", fresh)
     assert more.count() == 0 and {r.answer for r in again.collect()} == {"ROLL", None}
+
+
+def test_cycle_basis_of_a_dense_graph():
+    """Triangles of a dense core, squares at vertices between two of it, and one long cycle, in a second or so; all cycles through all vertices take minutes."""
+    r, names = random.Random(3), [f"v{i:04d}" for i in range(930)]
+    pairs = {tuple(sorted(r.sample(names[:200], 2))) for _ in range(5000)}
+    for n in names[200:900]:
+        pairs |= {(m, n) for m in r.sample(names[:200], 2)}
+    pairs |= {(names[0], names[900]), *zip(names[900:], names[901:]), (names[0], names[929])}
+    began = time.process_time()
+    got = G._cycles(names, sorted(pairs))
+    assert time.process_time() - began < 20
+    assert len(got) == len(pairs) - len(names) + 1 and got[-1][0] == 31 and {n for n, _ in got[:-1]} <= {3, 4, 5}
+    assert all(len(members) == n for n, members in got)
