@@ -129,7 +129,7 @@ def cut_spans(spans: DataFrame, cuts: DataFrame, group: str, width: int = 2000)
     """Spans (group, start_pos, end_pos) that a cut (group, pos) lies within: start < pos < end. A range join by buckets of width; a span meets only cuts of its own buckets."""
     s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width))))
     c = cuts.select(group, "pos").distinct().withColumn("bucket", F.floor(F.col("pos") / width))
-    return s.join(c, [group, "bucket"]).filter("start_pos < pos and pos < end_pos").drop("bucket")
+    return s.join(c.hint("merge"), [group, "bucket"]).filter("start_pos < pos and pos < end_pos").drop("bucket")
 
 
 def not_whole(spans: DataFrame, chunks: DataFrame, group: str, key: str, width: int = 2000) -> DataFrame:

@@ -417,3 +417,31 @@ def test_cycle_basis_of_a_dense_graph():
     assert time.process_time() - began < 20
     assert len(got) == len(pairs) - len(names) + 1 and got[-1][0] == 31 and {n for n, _ in got[:-1]} <= {3, 4, 5}
     assert all(len(members) == n for n, members in got)
+
+
+@pytest.mark.parametrize("name", ["span_cut_range_join", "span_not_whole_anti"])
+def test_exploded_positions_are_not_broadcast(spark, sf, name):
+    from kiln.plans import registry
+
+    df = registry.queries()[name](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    joins = [line for line in plan.split("\n") if "Join" in line and "bucket" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_positions_far_beyond_the_spans(spark, tmp_path):
+    """A book whose last position is near the end of the integers: no table of all its cuts or windows."""
+    from kiln.plans import registry
+
+    last, at = 2_100_000_500, 2_099_999_990
+    books = [f"b{i}" for i in range(80)]
+    spark.createDataFrame([(b + "c", b, at, last) for b in books], "chunk_id string, book string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/chunks.parquet")
+    rows = [(10 * i + k, b + "c", b, x, y) for i, b in enumerate(books) for k, (x, y) in enumerate([(0, 5), (5, 15), (9, 11), (11, 1500)])]
+    spark.createDataFrame(rows, "block_id long, chunk_id string, book string, start_pos int, end_pos int").write.parquet(f"{tmp_path}/blocks.parquet")
+    began = time.time()
+    cut = {(r.block_id, r.pos) for r in registry.queries()["span_cut_range_join"](spark, str(tmp_path)).collect()}
+    assert cut == {(r[0], p) for r in rows for p in range(2_099_999_000, last, 1000) if at + r[3] < p < at + r[4]}
+    whole = lambda x, y: at + y <= min((at + x) // 900, (last - 1) // 900) * 900 + 1200
+    assert {r.block_id for r in registry.queries()["span_not_whole_anti"](spark, str(tmp_path)).collect()} == {r[0] for r in rows if not whole(r[3], r[4])}
+    assert time.time() - began < 60
