@@ -126,15 +126,17 @@ def overlapped(chunks: DataFrame, group: str, order: list[str], text: str = "tex
 
 
 def cut_spans(spans: DataFrame, cuts: DataFrame, group: str, width: int = 2000) -> DataFrame:
-    """Spans (group, start_pos, end_pos) that a cut (group, pos) lies within: start < pos < end. A range join by buckets of width; a span meets only cuts of its own buckets."""
+    """Spans (group, start_pos, end_pos) that a cut (group, pos) lies within: start < pos < end. A range join by buckets of width; a span meets only cuts of its own buckets.
+
+    Cuts are often exploded from a row a group, and Spark's estimate knows nothing of that: without the hint it would broadcast all of them as if they were those few rows."""
     s = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width))))
     c = cuts.select(group, "pos").distinct().withColumn("bucket", F.floor(F.col("pos") / width))
     return s.join(c.hint("merge"), [group, "bucket"]).filter("start_pos < pos and pos < end_pos").drop("bucket")
 
 
 def not_whole(spans: DataFrame, chunks: DataFrame, group: str, key: str, width: int = 2000) -> DataFrame:
-    """Spans that lie whole in no chunk (group, start_pos, end_pos): left anti range join by the bucket of the span's start."""
+    """Spans that lie whole in no chunk (group, start_pos, end_pos): left anti range join by the bucket of the span's start. For the hints see cut_spans."""
     s = spans.withColumn("bucket", F.floor(F.col("start_pos") / width))
     c = chunks.select(group, F.col("start_pos").alias("c_start"), F.col("end_pos").alias("c_end")).distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("c_start") / width), F.floor(F.greatest(F.col("c_end") - 1, "c_start") / width))))
-    within = s.join(c, [group, "bucket"]).filter("c_start <= start_pos and end_pos <= c_end").select(key).distinct()
-    return spans.join(within, key, "left_anti")
+    within = s.join(c.hint("merge"), [group, "bucket"]).filter("c_start <= start_pos and end_pos <= c_end").select(key).distinct()
+    return spans.join(within.hint("merge"), key, "left_anti")
