@@ -19,25 +19,44 @@ from kiln.session import cut
 GRAM = 5
 #: Runs of evidence that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 200_000
+#: Words of the evidence of a book that a unit meets in a row.
+WORDS = 256
+#: Questions whose ids are broadcast at most; more are joined by a shuffle.
+QUESTIONS = 1_000_000
 
 
 def all_evidence(questions: DataFrame, units: DataFrame, match_book: bool = True) -> DataFrame:
     """(question_id, unit_id) where every evidence pattern of the question is in the unit's text, of the same book if match_book. questions: question_id, book, evidence (literal words); units: unit_id, book, text.
 
-    With the book the join is by book; without it a run of GRAM characters of the evidence, which any text that holds the evidence holds too, meets the runs of the units by equality, so that no question is held against every unit.
+    With the book a unit meets the distinct words of its book's evidence once each; without it a run of GRAM characters of the evidence, which any text that holds the evidence holds too, meets the runs of the units by equality, so that no question is held against every unit.
     Evidence without a word that long is met by a run as long as its longest word.
     """
     q = questions.filter(F.size("evidence") > 0).select("question_id", "book", "evidence")
     u = units.select("unit_id", F.col("book").alias("unit_book"), "text").withColumn("low", F.lower("text"))
-    low = lambda c: F.transform(c, lambda e: F.lower(e))
-    holds = F.forall(low(F.col("evidence")), lambda e: F.contains(F.col("low"), e))
-    if match_book:
-        # A book may hold a third of all rows: questions are copied over salts of the units.
-        salts = max(8, questions.sparkSession.sparkContext.defaultParallelism)
-        qs = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("salt", F.col("salt").cast("long"))
-        us = u.withColumn("salt", F.pmod(F.xxhash64("unit_id"), F.lit(salts)))
-        return qs.join(us, (qs.book == us.unit_book) & (qs.salt == us.salt)).filter(holds).select("question_id", "unit_id").distinct()
-    return _anywhere(q, u)
+    return _in_book(q, u) if match_book else _anywhere(q, u)
+
+
+def _in_book(questions: DataFrame, units: DataFrame) -> DataFrame:
+    """all_evidence() within books. Questions of the same evidence in the same book are one; a word that several lists share is sought once a unit, the rest of a list only where its longest word is. What a unit has is gathered by its id as numbers, so that no pair of question and unit is shuffled."""
+    clean = questions.filter(~F.exists("evidence", lambda e: e.isNull()) & F.col("book").isNotNull())
+    lists = clean.select("question_id", "book", F.array_sort(F.array_distinct(F.transform("evidence", lambda e: F.lower(e)))).alias("words"))
+    asked = lists.groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct("book", "words"))).alias("lists"))
+    # In a struct, as an id may be null.
+    members = cut(asked.groupBy("lists").agg(F.collect_list(F.struct("question_id")).alias("members")).withColumn("number", F.monotonically_increasing_id()))
+    longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    one = members.select("number", F.explode("lists").alias("l")).select("number", "l.book", "l.words").withColumn("word", longest)
+    rest = F.filter("words", lambda w: w != F.col("word"))
+    words = one.groupBy("book", "word").agg(F.collect_list(F.struct(rest.alias("rest"), "number")).alias("lists"))
+    part = F.floor((F.row_number().over(Window.partitionBy("book").orderBy("word")) - 1) / WORDS)
+    keys = words.withColumn("part", part).groupBy(F.col("book").alias("unit_book"), "part").agg(F.collect_list(F.struct("word", "lists")).alias("keys"))
+    near = F.flatten(F.transform(F.filter("keys", lambda k: F.contains(F.col("low"), k["word"])), lambda k: k["lists"]))
+    whole = F.filter(near, lambda x: F.forall(x["rest"], lambda w: F.contains(F.col("low"), w)))
+    met = units.join(_small(cut(keys)), "unit_book").select("unit_id", F.transform(whole, lambda x: x["number"]).alias("numbers")).filter(F.size("numbers") > 0)
+    found = met.groupBy("unit_id").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+    all_members = members.select("number", "members")
+    all_members = F.broadcast(all_members) if questions.count() <= QUESTIONS else all_members
+    pairs = found.select("unit_id", F.explode("numbers").alias("number")).join(all_members, "number")
+    return pairs.select("unit_id", F.explode("members").alias("m")).select("m.question_id", "unit_id")
 
 
 def _grams(text: Column, n: int) -> Column:

@@ -445,3 +445,18 @@ def test_positions_far_beyond_the_spans(spark, tmp_path):
     whole = lambda x, y: at + y <= min((at + x) // 900, (last - 1) // 900) * 900 + 1200
     assert {r.block_id for r in registry.queries()["span_not_whole_anti"](spark, str(tmp_path)).collect()} == {r[0] for r in rows if not whole(r[3], r[4])}
     assert time.time() - began < 60
+
+
+def test_evidence_of_many_questions_is_sought_once(spark):
+    """20 000 questions of the same words in one book with 6000 units, few of which hold them; null ids, several lists of a question and a unit with two texts."""
+    words = F.when(F.col("id") % 2 == 0, F.array(F.lit("Roll"), F.lit("nowhere"))).otherwise(F.array(F.lit("nowhere")))
+    q = spark.range(20_000).select(F.col("id").cast("string").alias("question_id"), F.lit("b").alias("book"), words.alias("evidence"))
+    more = spark.createDataFrame([("x", "b", ["strip 7 "]), ("x", "c", ["NOTHING"]), (None, "b", ["strip 7 "]), ("y", "b", ["strip", None]), ("z", None, ["strip"]), ("e", "b", [])], q.schema)
+    text = F.concat(F.lit("strip "), F.col("id").cast("string"), F.repeat(F.lit(" nowher rolls no"), 200))
+    u = spark.range(6000).select(F.col("id").cast("string").alias("unit_id"), F.lit("b").alias("book"), text.alias("text"))
+    other = spark.createDataFrame([("7", "b", "strip 7 again"), ("r", "b", "rolls nowhere"), ("s", "b", "nowhere"), ("n", "b", None), ("c", "c", "nothing, strip 7 "), ("m", None, "strip")], u.schema)
+    began = time.time()
+    got = R.all_evidence(q.unionByName(more), u.unionByName(other)).collect()
+    assert time.time() - began < 30 and len(got) == len(set(got))
+    want = {(str(i), "r") for i in range(20_000)} | {(str(i), "s") for i in range(1, 20_000, 2)} | {("x", "7"), ("x", "c"), (None, "7")}
+    assert {tuple(r) for r in got} == want
