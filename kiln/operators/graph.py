@@ -7,19 +7,24 @@ algorithms; ties go to the smaller name; an empty graph gives empty results.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiln.session import cut, release
 
-#: Edges of one component that the per-component operators (cycle basis, articulation points, depth-first search) take; larger ones are refused. Mean paths of larger ones come from searches over joins.
+#: Edges of one component that the per-component operators (cycle basis, articulation points, depth-first search) take; larger ones are refused.
 MAX_COMPONENT = 500_000
 #: Rounds after which the tables of a loop are folded into one.
 FOLD = 32
+#: Edges up to which searches from many vertices hold the graph as numbers in every task; larger ones are searched by joins.
+NUMBERED = 2_000_000
+#: Vertices from which a task searches at once, a bit each.
+ROOTS = 1024
 
 
 def build(relations: DataFrame) -> DataFrame:
@@ -80,6 +85,68 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFra
     return reached
 
 
+class _Numbered:
+    """A graph as numbers: vertices (name, id) in the shared folder, ids from 0; of those with edges, all in one place for the tasks: ids, rows of neighbours, where each row begins."""
+
+    def __init__(self, names: DataFrame, edges: DataFrame):
+        # One task numbers them without gaps; there are at most twice NUMBERED.
+        self.names = cut(names.select("name").distinct().repartition(1).withColumn("id", F.monotonically_increasing_id()))
+        end = lambda c: self.names.select(F.col("name").alias(c), F.col("id").alias(c + "_id"))
+        e = both(edges).join(end("src"), "src").join(end("dst"), "dst").select("src_id", "dst_id").toArrow()
+        src, dst = e["src_id"].to_numpy(), e["dst_id"].to_numpy()
+        order = np.lexsort((dst, src))
+        self.ids, first = np.unique(src[order], return_index=True)
+        self.shared = names.sparkSession.sparkContext.broadcast((self.ids, np.searchsorted(self.ids, dst[order]).astype(np.int32), first))
+
+    def search(self, roots: np.ndarray, found: Callable[[int, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, depth: int | None = None) -> DataFrame:
+        """What found(distance, ids, ids of the roots of a block, bits of vertices by roots first reached at that distance) gives, for blocks of roots (ids with edges)."""
+        spark, shared = self.names.sparkSession, self.shared
+        tasks = 2 * spark.sparkContext.defaultParallelism
+        size = int(min(ROOTS, max(64, -(-len(roots) // tasks // 64) * 64)))
+        at = spark.sparkContext.broadcast(np.searchsorted(self.ids, roots))
+        blocks = -(-len(roots) // size)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, near, first = shared.value
+            for block in (k for b in batches for k in b.column(0).to_pylist()):
+                mine = at.value[block * size : (block + 1) * size]
+                seen = np.zeros((len(ids), -(-len(mine) // 64)), np.uint64)
+                k = np.arange(len(mine))
+                seen[mine, k // 64] = np.uint64(1) << (k % 64).astype(np.uint64)
+                new = seen.copy()
+                for d in itertools.count(1) if depth is None else range(1, depth + 1):
+                    new = np.bitwise_or.reduceat(new[near], first, axis=0) & ~seen
+                    if not new.any():
+                        break
+                    seen |= new
+                    yield from found(d, ids, ids[mine], new)
+
+        return spark.range(0, blocks, 1, max(1, blocks)).mapInArrow(run, schema)
+
+
+def _pairs(d: int, ids: np.ndarray, roots: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, distance, seeds): the vertices with their roots, some thousand at once."""
+    for i in range(0, len(ids), 2048):
+        v, k = np.nonzero(np.unpackbits(bits[i : i + 2048].view(np.uint8), axis=1, bitorder="little"))
+        if len(v):
+            there, n = np.unique(v, return_counts=True)
+            seeds = pa.ListArray.from_arrays(np.append(0, np.cumsum(n)).astype(np.int32), pa.array(roots[k]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i + there]), pa.array(np.full(len(n), d, np.int32)), seeds], ["id", "distance", "seeds"])
+
+
+def bfs_many(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """bfs() up to depth from many seeds: a bit a seed in tasks that hold the whole graph, so that no pair of seed and name is shuffled or kept; by joins where the graph is above NUMBERED edges."""
+    edges, seeds = cut(edges.select("src", "dst")), cut(seeds.select("seed").distinct())
+    if edges.count() > NUMBERED:
+        return bfs(edges, seeds, depth)
+    g = _Numbered(both(edges).select(F.col("src").alias("name")), edges)
+    roots = np.sort(seeds.select(F.col("seed").alias("name")).join(g.names, "name").select("id").toArrow()["id"].to_numpy())
+    names = F.broadcast(g.names)
+    far = g.search(roots, _pairs, "id long, distance int, seeds array<long>", depth).join(names, "id").select("name", "distance", F.explode("seeds").alias("id"))
+    far = far.join(names.withColumnRenamed("name", "seed"), "id").select("seed", "name", "distance")
+    return seeds.select("seed", F.col("seed").alias("name"), F.lit(0).alias("distance")).unionByName(far)
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) of each triangle. Edges point from the end of lower degree, which bounds the paths that are joined for any hub."""
     e = both(edges)
@@ -336,32 +403,31 @@ def cycle_basis(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return per_component(vertices, edges, _cycles, "length int, members array<string>")
 
 
-def _paths(names: list[str], pairs: list[tuple[str, str]]) -> list[tuple]:
-    near, total, longest, n = _near(pairs), 0, 0, 0
-    for root in names:
-        level, queue = {root: 0}, [root]
-        for v in queue:
-            for w in near.get(v, ()):
-                if w not in level:
-                    level[w] = level[v] + 1
-                    queue.append(w)
-        total, longest, n = total + sum(level.values()), max(longest, max(level.values())), n + len(level) - 1
-    return [(len(names), longest, total / n if n else 0.0)]
+def _sums(component: np.ndarray, d: int, ids: np.ndarray, roots: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(component, distance, n): pairs of a block that are that far from each other, by the number of their component."""
+    n = np.bincount(component, weights=np.bitwise_count(bits).sum(axis=1, dtype=np.int64)).astype(np.int64)
+    there = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), d, np.int32)), pa.array(n[there])], ["component_id", "distance", "n"])
 
 
 def path_lengths(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(component, size, diameter, mean_path); components above MAX_COMPONENT edges by breadth-first searches from all their vertices over joins, which give the same."""
+    """(component, size, diameter, mean_path) from searches from all vertices: a bit a vertex in tasks that hold the whole graph; over joins, which give the same, where it is above NUMBERED edges."""
     labels = cut(components(vertices, edges))
-    ends = edges.filter("src <> dst").select("src", "dst").join(labels.select(F.col("name").alias("src"), "component"), "src")
-    large = cut(ends.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_COMPONENT).select("component"))
-    if large.isEmpty():
-        return per_component(vertices, edges, _paths, "size int, diameter int, mean_path double", labels)
-    mine = labels.join(large, "component", "left_semi")
-    small = per_component(labels.join(large, "component", "left_anti").select("name"), ends.join(large, "component", "left_anti").select("src", "dst"), _paths, "size int, diameter int, mean_path double")
-    d = bfs(ends.join(large, "component", "left_semi").select("src", "dst"), mine.select(F.col("name").alias("seed"))).join(mine.withColumnRenamed("name", "seed"), "seed")
-    n = F.count_if(F.col("distance") > 0)
-    far = d.groupBy("component").agg(F.countDistinct("seed").cast("int").alias("size"), F.max("distance").cast("int").alias("diameter"), (F.sum("distance") / F.greatest(n, F.lit(1))).alias("mean_path"))
-    return small.unionByName(far)
+    ends = cut(edges.filter("src <> dst").select("src", "dst"))
+    if ends.count() > NUMBERED:
+        d = bfs(ends, labels.select(F.col("name").alias("seed"))).filter("distance > 0").join(labels.withColumnRenamed("name", "seed"), "seed")
+        far = d.groupBy("component", "distance").agg(F.count("*").alias("n"))
+    else:
+        g = _Numbered(labels, ends)
+        of = labels.join(g.names, "name").join(g.names.select(F.col("name").alias("component"), F.col("id").alias("component_id")), "component").select("id", "component_id").toArrow()
+        number = np.zeros(of.num_rows, np.int64)
+        number[of["id"].to_numpy()] = of["component_id"].to_numpy()
+        component = labels.sparkSession.sparkContext.broadcast(number[g.ids])
+        d = g.search(g.ids, lambda *x: _sums(component.value, *x), "component_id long, distance int, n long")
+        far = d.join(g.names.select(F.col("id").alias("component_id"), F.col("name").alias("component")), "component_id")
+    far = far.groupBy("component").agg(F.max("distance").alias("diameter"), F.sum(F.col("distance") * F.col("n")).alias("total"), F.sum("n").alias("n"))
+    size = labels.groupBy("component").agg(F.count("*").cast("int").alias("size"))
+    return size.join(far, "component", "left").select("component", "size", F.coalesce(F.col("diameter").cast("int"), F.lit(0)).alias("diameter"), F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("mean_path"))
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:

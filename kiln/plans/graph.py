@@ -127,7 +127,7 @@ SELECT a, b, min(d)::INT AS distance FROM b GROUP BY 1, 2
 def shortest_paths(t: Tables) -> DataFrame:
     """Every queried name to every name at most 3 edges away; shortest_path_len has pairs of three names only."""
     asked = t.query_entities.filter("name is not null").select(F.upper(F.trim("name")).alias("seed")).distinct()
-    return G.bfs(edges(t), asked, 3).select(F.col("seed").alias("a"), F.col("name").alias("b"), "distance")
+    return G.bfs_many(edges(t), asked, 3).select(F.col("seed").alias("a"), F.col("name").alias("b"), "distance")
 
 
 @query(f"""

@@ -451,12 +451,35 @@ def test_evidence_of_many_questions_is_sought_once(spark):
     """20 000 questions of the same words in one book with 6000 units, few of which hold them; null ids, several lists of a question and a unit with two texts."""
     words = F.when(F.col("id") % 2 == 0, F.array(F.lit("Roll"), F.lit("nowhere"))).otherwise(F.array(F.lit("nowhere")))
     q = spark.range(20_000).select(F.col("id").cast("string").alias("question_id"), F.lit("b").alias("book"), words.alias("evidence"))
-    more = spark.createDataFrame([("x", "b", ["strip 7 "]), ("x", "c", ["NOTHING"]), (None, "b", ["strip 7 "]), ("y", "b", ["strip", None]), ("z", None, ["strip"]), ("e", "b", [])], q.schema)
+    more = spark.createDataFrame([("x", "b", ["strip 7 "]), ("x", "c", ["NOTHING"]), (None, "b", ["strip 7 "]), ("y", "b", ["strip", None]), ("z", None, ["strip"]), ("e", "b", [])], "question_id string, book string, evidence array<string>")
     text = F.concat(F.lit("strip "), F.col("id").cast("string"), F.repeat(F.lit(" nowher rolls no"), 200))
     u = spark.range(6000).select(F.col("id").cast("string").alias("unit_id"), F.lit("b").alias("book"), text.alias("text"))
-    other = spark.createDataFrame([("7", "b", "strip 7 again"), ("r", "b", "rolls nowhere"), ("s", "b", "nowhere"), ("n", "b", None), ("c", "c", "nothing, strip 7 "), ("m", None, "strip")], u.schema)
+    other = spark.createDataFrame([("7", "b", "strip 7 again"), ("r", "b", "rolls nowhere"), ("s", "b", "nowhere"), ("n", "b", None), ("c", "c", "nothing, strip 7 "), ("m", None, "strip")], "unit_id string, book string, text string")
     began = time.time()
     got = R.all_evidence(q.unionByName(more), u.unionByName(other)).collect()
     assert time.time() - began < 30 and len(got) == len(set(got))
     want = {(str(i), "r") for i in range(20_000)} | {(str(i), "s") for i in range(1, 20_000, 2)} | {("x", "7"), ("x", "c"), (None, "7")}
     assert {tuple(r) for r in got} == want
+
+
+def test_searches_with_the_graph_in_every_task(spark):
+    """A chain, a cycle with chords, a vertex alone and seeds outside the graph, against searches by joins; nothing is shuffled by pairs."""
+    r = random.Random(4)
+    chain = [(f"a{i:03d}", f"a{i + 1:03d}") for i in range(150)]
+    ring = [(f"c{i:03d}", f"c{(i + 1) % 90:03d}") for i in range(90)] + [tuple(r.sample([f"c{i:03d}" for i in range(90)], 2)) for _ in range(20)]
+    e = spark.createDataFrame([*chain, *ring, ("c000", "c000")], "src string, dst string")
+    names = spark.createDataFrame(sorted({(n,) for p in chain + ring for n in p} | {("alone",)}), "name string")
+    seeds = names.select(F.col("name").alias("seed")).union(spark.createDataFrame([("nowhere",)], "seed string"))
+    want = {tuple(x) for x in G.bfs(e, seeds, 3).collect()}
+    many = G.bfs_many(e, seeds, 3)
+    got = [tuple(x) for x in many.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert "Exchange hashpartitioning" not in many._jdf.queryExecution().executedPlan().toString()
+    paths = {tuple(x) for x in G.path_lengths(names, e).collect()}
+    G.NUMBERED, held = 5, G.NUMBERED
+    try:
+        ring_only = e.filter("src > 'b'")
+        by_joins = {tuple(x) for x in G.path_lengths(names.filter("name > 'b' or name = 'alone'"), ring_only).collect()}
+    finally:
+        G.NUMBERED = held
+    assert by_joins <= paths and {x for x in paths if x[0] == "a000"} == {("a000", 151, 150, 152 / 3)} and ("alone", 1, 0, 0.0) in paths and len(paths) == 3
